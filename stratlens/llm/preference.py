@@ -95,8 +95,8 @@ src AS (SELECT c.conv_id, c.half, coalesce(o.conv_id, c.conv_id) AS other, coale
 rej AS (SELECT s.conv_id, t.pos, t.role, t.text FROM src s JOIN t ON t.conv_id = s.conv_id AND t.pos <= s.half
   UNION ALL SELECT s.conv_id, s.half + t.pos - s.ohalf, t.role, t.text FROM src s JOIN t ON t.conv_id = s.other AND t.pos > s.ohalf),
 cho AS (SELECT conv_id, pos, role, text FROM t),
-both AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.pos, b.pos) AS pos, coalesce(a.role = b.role AND a.text = b.text, false) AS same FROM cho a FULL JOIN rej b ON a.conv_id = b.conv_id AND a.pos = b.pos),
-lcp AS (SELECT conv_id, CAST(coalesce(min(pos) FILTER (NOT same) - 1, max(pos)) AS INT) AS n FROM both GROUP BY conv_id),
+paired AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.pos, b.pos) AS pos, coalesce(a.role = b.role AND a.text = b.text, false) AS same FROM cho a FULL JOIN rej b ON a.conv_id = b.conv_id AND a.pos = b.pos),
+lcp AS (SELECT conv_id, CAST(coalesce(min(pos) FILTER (NOT same) - 1, max(pos)) AS INT) AS n FROM paired GROUP BY conv_id),
 parts AS (SELECT l.conv_id, l.n, x.side, x.pos, x.role, x.text, '<|' || x.role || '|>' || chr(10) AS head, '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10) AS body
   FROM lcp l JOIN (SELECT 'c' AS side, * FROM cho UNION ALL SELECT 'r' AS side, * FROM rej) x ON x.conv_id = l.conv_id),
 spans AS (SELECT conv_id, side, pos, role, sum(length(body)) OVER (PARTITION BY conv_id, side ORDER BY pos) - length(body) + length(head) AS b, sum(length(body)) OVER (PARTITION BY conv_id, side ORDER BY pos) AS e FROM parts WHERE pos > n)
