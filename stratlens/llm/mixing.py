@@ -1,8 +1,8 @@
 """Mixing documents to target weights with soft domain membership, in DataFrame operations only.
 
-1. A naive Bayes classifier is fitted on labelled documents: which word beginnings (and marks of
-   length, symbols and repetition) a domain's documents have.  At most ``per_domain`` rows of a domain
-   are used, chosen by a hash, and ``vocabulary`` marks; both bounds are parameters.
+1. A softmax regression is fitted on labelled documents, over the word beginnings (and marks of
+   length, symbols and repetition) that set domains apart.  About ``per_domain`` rows of a domain are
+   used, chosen by a hash, and ``vocabulary`` marks; both bounds are parameters.
 2. Every document gets its posterior over the domains and its number of tokens.
 3. Nonnegative rates are fitted so that the expected tokens of each domain, the sum of rate x tokens
    x posterior, meet the targets: projected gradient steps on the squared residuals, each one pass
@@ -53,8 +53,8 @@ def domain(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(name).alias("domain"))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, per_domain: int = 1500, vocabulary: int = 96) -> tuple[list[str], dict[str, list[float]], list[float]]:
-    """Domains, log likelihood ratios of the clearest marks, and log priors."""
+def fit(docs: DataFrame, labelled: DataFrame, per_domain: int = 1500, vocabulary: int = 160) -> tuple[list[str], dict[str, list[float]], list[float]]:
+    """Domains, weights of the clearest marks for each, and biases: a softmax regression on the sample."""
     sizes = {r[0]: r[1] for r in labelled.groupBy("domain").count().collect()}
     if not sizes:
         return ["all"], {}, [0.0]
@@ -72,10 +72,39 @@ def fit(docs: DataFrame, labelled: DataFrame, per_domain: int = 1500, vocabulary
     # a mark counts by how far and how often its rates differ
     gain = F.greatest(*(F.abs(F.log(r) - middle) * r for r in rate), F.lit(0.0))
     far = F.greatest(*(F.abs(F.log(r) - middle) for r in rate), F.lit(0.0))
-    best = wide.where((far > 1.2) & (F.greatest(*rate, F.lit(0.0)) > 0.02)).select("mark", *(F.log(r).alias(f"l{i}") for i, r in enumerate(rate)), gain.alias("gain")).orderBy(F.desc("gain"), "mark").limit(vocabulary).collect()
-    table = {r["mark"]: [float(r[f"l{i}"] - np.mean([r[f"l{k}"] for k in range(len(names))])) for i in range(len(names))] for r in best}
+    shape = F.col("mark").startswith("#").cast("int")
+    best = wide.where(((far > 0.9) | (shape == 1)) & (F.greatest(*rate, F.lit(0.0)) > 0.02)).select("mark", gain.alias("gain"), shape.alias("shape")).orderBy(F.desc("shape"), F.desc("gain"), "mark").limit(vocabulary).collect()
+    if not best:
+        return names, {}, [0.0] * len(names)
+    words = [r["mark"] for r in best]
+    known = F.array(*map(F.lit, words))
+    seen = marked(sample, "domain").select("domain", F.array_intersect("marks", known).alias("seen")).select("domain", F.transform("seen", lambda m: F.array_position(known, m).cast("int")).alias("at")).collect()
     total = sum(sizes.values())
-    return names, table, [float(np.log((sizes[d] + 1) / (total + len(names)))) for d in names]
+    w, bias = _softmax([(names.index(r["domain"]), r["at"]) for r in seen], len(words), np.array([sizes[d] / total for d in names]))
+    return names, {m: [float(v) for v in w[i]] for i, m in enumerate(words)}, [float(v) for v in bias]
+
+
+def _softmax(rows: list[tuple[int, list[int]]], width: int, share: np.ndarray, rounds: int = 400, penalty: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (marks, domains) and biases; rows count so that domains have their shares of the whole."""
+    k = len(share)
+    x = np.zeros((len(rows), width + 1))
+    x[:, width] = 1
+    y = np.zeros((len(rows), k))
+    for i, (d, at) in enumerate(rows):
+        x[i, [a - 1 for a in at]] = 1
+        y[i, d] = 1
+    weight = (share / np.maximum(y.sum(axis=0), 1))[y.argmax(axis=1)]
+    weight /= weight.sum()
+    w = v = np.zeros((width + 1, k))
+    step = 1.0 / (0.5 * float((weight * (x * x).sum(axis=1)).sum()) + penalty)
+    ridge = np.append(np.full(width, penalty), 0.0)[:, None]
+    for t in range(rounds):
+        z = x @ v
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        g = x.T @ ((e / e.sum(axis=1, keepdims=True) - y) * weight[:, None]) + ridge * v
+        nxt = v - step * g
+        v, w = nxt + (t / (t + 3)) * (nxt - w), nxt
+    return w[:width], w[width]
 
 
 def posteriors(docs: DataFrame, model, *keep: str) -> DataFrame:
