@@ -74,7 +74,7 @@ def spans(docs: DataFrame, text: str, key: str) -> DataFrame:
     rows = _grams(_with_words(docs, text, key), key)
     hits = rows.join(F.broadcast(templates(docs.sparkSession)), "code").where(_text_of("at") == F.col("gram"))
     votes = hits.groupBy(key, "label", "template", "total", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.count(F.lit(1)).alias("votes"), F.min("at").alias("begin"), (F.max("at") + K).alias("stop")
+        F.countDistinct("at").alias("votes"), F.min("at").alias("begin"), (F.max("at") + K).alias("stop")
     )
     by = "PARTITION BY {0}, template ORDER BY diagonal".format(key)
     near = votes.withColumn("new", F.expr(f"IF(diagonal - LAG(diagonal) OVER ({by}) <= {GAP}, 0, 1)")).withColumn("grp", F.expr(f"SUM(new) OVER ({by} ROWS UNBOUNDED PRECEDING)"))

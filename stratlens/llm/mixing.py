@@ -63,7 +63,9 @@ def fit(docs: DataFrame, labelled: DataFrame, per_domain: int = 1500, vocabulary
     share = F.lit(0.0)
     for d, n in sizes.items():
         share = F.when(F.col("domain") == d, F.lit(min(1.0, per_domain / n))).otherwise(share)
-    sample = docs.select("doc_id", "text").join(labelled.where(chance < share), "doc_id")
+    # at most 1.2 * per_domain rows a domain, by construction: the one table that is broadcast
+    few = labelled.where(chance < share).orderBy(F.xxhash64("doc_id")).limit(int(1.2 * per_domain) * len(names))
+    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
     got = marked(sample, "domain").select("domain", F.explode("marks").alias("mark"))
     taken = {r[0]: r[1] for r in labelled.where(chance < share).groupBy("domain").count().collect()}
     wide = got.groupBy("mark").agg(*(F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(names)))

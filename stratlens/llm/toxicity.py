@@ -143,22 +143,27 @@ def train(texts: list[bytes], label: np.ndarray, size: int = 4096, penalty: floa
     return Model(ordinary, special, mean, scale, w, float(b))
 
 
-def fit(labelled: DataFrame, per_class: int = 2000, max_bytes: int = 1 << 15) -> Model | float:
-    """Fit on (key, text, toxic) rows; a number (the share of label 1) where there is nothing to tell apart."""
-    rows = labelled.where("toxic is not null and text is not null").where(F.octet_length("text").between(1, max_bytes)).select("key", "text", (F.col("toxic") > 0).alias("toxic"))
-    sizes = {bool(r["toxic"]): r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes: int = 1 << 15) -> Model | float:
+    """Fit on (doc_id, text) and (doc_id, toxic) rows; a number (the share of label 1) where there is nothing to tell apart."""
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    sizes = {bool(r["toxic"]): r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return 1.0 if True in sizes else 0.0
-    chance = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-    picked = None
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    few = None
     for cls in (False, True):
-        part = rows.where((F.col("toxic") == cls) & (chance < min(1.0, 1.2 * per_class / sizes[cls]))).orderBy(F.xxhash64("key", "text")).limit(per_class)
-        picked = part if picked is None else picked.unionByName(part)
+        part = known.where((F.col("toxic") == cls) & (chance < min(1.0, 1.2 * per_class / sizes[cls]))).orderBy(F.xxhash64("doc_id")).limit(per_class)
+        few = part if few is None else few.unionByName(part)
+    # at most 2 * per_class rows are broadcast, by their limit
+    rows = docs.where(F.octet_length("text").between(1, max_bytes)).select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    picked = rows.select(F.col("doc_id").alias("key"), "text", "toxic").orderBy("key", F.xxhash64("text")).limit(2 * per_class)
     got = picked.select("key", "text", "toxic").toArrow()
     keys = [str(k) for k in got.column("key").to_pylist()]
     order = sorted(range(len(keys)), key=keys.__getitem__)
     texts = [got.column("text")[int(i)].as_py().encode() for i in order]
-    label = np.array(got.column("toxic").to_pylist())[order]
+    label = np.array(got.column("toxic").to_pylist(), bool)[order] if order else np.zeros(0, bool)
+    if min(label[::2].sum(), label[1::2].sum(), (~label[::2]).sum(), (~label[1::2]).sum()) < 2 if len(label) else True:
+        return sizes[True] / (sizes[True] + sizes[False])
     by_class = np.argsort(label, kind="stable")  # either half gets every other row of each class
     return train([texts[i] for i in by_class], label[by_class])
 
@@ -189,7 +194,6 @@ def score(df: DataFrame, model: Model | float, text: str = "text", keep_text: bo
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted, learned from labelled rows that are not held out."""
-    known = labels.where(fold("doc_id", 5) != 0).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    model = fit(docs.select("doc_id", "text").join(known, "doc_id").select(F.col("doc_id").alias("key"), "text", "toxic"))
+    model = fit(docs, labels.where(fold("doc_id", 5) != 0))
     out = score(docs.select("doc_id", "text"), model, keep_text=False)
     return out.withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False))).select("doc_id", "held_out", "score", "predicted")
