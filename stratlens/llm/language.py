@@ -118,7 +118,7 @@ def _train(x: np.ndarray, y: np.ndarray, rounds: int, penalty: float, scale: flo
     return w * np.float32(scale), b
 
 
-def fit(labelled: DataFrame, per_language: int = 500, max_rows: int = 3000, rounds: int = 80, penalty: float = 1e-4, margin: float = 1.0) -> Model | None:
+def fit(labelled: DataFrame, per_language: int = 300, max_rows: int = 1500, rounds: int = 80, penalty: float = 1e-4, margin: float = 1.0) -> Model | None:
     """Fit on (key, text, lang) rows; those with a null text or lang are left out."""
     labelled = labelled.where("lang is not null and text is not null").select("key", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
