@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def _rounded(x: float, digits: int) -> float:
         places = -int(math.floor(math.log10(abs(x - whole)))) - 1 + digits
     else:
         places = digits
-    return round(x, places)
+    return float(np.around(x, places))
 
 
 def interval_labels(edges: list[float]) -> list[str]:
@@ -55,7 +56,6 @@ def interval_labels(edges: list[float]) -> list[str]:
     digits = next((p for p in range(3, 20) if len({_rounded(e, p) for e in edges}) == len(edges)), 3)
     shown = [_rounded(float(e), digits) for e in edges]
     left = [shown[0] - 10**-digits, *shown[1:-1]]
-    left[0] = _rounded(left[0], digits)
     return [f"({a}, {b}]" for a, b in zip(left, shown[1:])]
 
 

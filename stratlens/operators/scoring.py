@@ -14,7 +14,7 @@ def assign(df: DataFrame, variable: str, buckets: DataFrame | list, val: str, ou
 
     Values in no bin get null, or fail with ``on_unseen="error"``.  A bucket table has one row a bin.
     """
-    rows = [r.asDict() for r in (buckets.collect() if isinstance(buckets, DataFrame) else buckets)]
+    rows = [r.asDict() for r in buckets.collect()] if isinstance(buckets, DataFrame) else [dict(r) for r in buckets]
     for r in rows:
         r.setdefault("bin", None)
         r.setdefault("discrete", None)

@@ -24,7 +24,7 @@ def f2(spark):
 
 @pytest.fixture(scope="module")
 def f3(spark):
-    return spark.createDataFrame(list(zip([1.0, 1, 1, 8, 2, 2, 3, float("nan")], [1, 1, 0, 0, 1, 0, 1, 1])), "x double, y int").cache()
+    return spark.createDataFrame(list(zip(map(float, [1, 1, 1, 8, 2, 2, 3, "nan"]), [1, 1, 0, 0, 1, 0, 1, 1])), "x double, y int").cache()
 
 
 def rows(df, *cols):
