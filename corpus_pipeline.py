@@ -24,8 +24,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup (operator 7): the smallest doc_id of each group stays."""
-    keep = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    """MinHash near-dedup (operator 7) at a similarity of 0.8 or more: the smallest doc_id of each group stays."""
+    keep = minhash.near_duplicates(docs, minhash.Settings(percent=80, bands=32, rows=4)).where("kept").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
 
 

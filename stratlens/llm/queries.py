@@ -47,7 +47,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.Settings(percent=85, bands=16, rows=4))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
