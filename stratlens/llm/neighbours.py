@@ -4,7 +4,9 @@ Centroids are fitted by balanced k-means on a bounded sample (``SAMPLE`` rows by
 nearest centroids, searched best-first in memory, finds the lists of a vector.  A vector goes to its
 nearest list and, near a boundary, to more: to each list whose centroid is at most ``spill`` times
 as far, unless a list it is in already is nearer to that centroid (such copies add little).  A query
-reads the lists whose centroids are at most ``ratio`` times as far as its nearest one.
+reads the lists whose centroids are at most ``ratio`` times as far as its nearest one; where the nearest
+lists are too short to hold more than ``top`` vectors, as far as the first one with which they do.  A
+query that still has fewer than ``top`` results, though there are more vectors, is compared with all.
 
 The number of lists grows with the square root of the number of vectors up to ``MOST``.  Lists longer
 than ``LIST`` (copies of a vector can't be told apart by centroids) are cut into parts by a hash, all
@@ -114,18 +116,21 @@ class Index:
                     mine.append(int(found[i, k]))
         return [np.array(r) for r in out]
 
-    def probes(self, q: np.ndarray) -> list[np.ndarray]:
+    def probes(self, q: np.ndarray, held: np.ndarray, top: int) -> list[np.ndarray]:
+        """``held``: how many vectors have each list as their nearest."""
         found, cos = self.graph.search(unit(q), self.width)
         far = _distance(cos)
-        return [f[d <= self.ratio * d[0]] for f, d in zip(found, far)]
+        enough = np.minimum((held[found].cumsum(axis=1) <= top).sum(axis=1), found.shape[1] - 1)  # one is the query
+        limit = self.ratio * far[np.arange(len(far)), enough]
+        return [f[d <= m] for f, d, m in zip(found, far, limit)]
 
 
-def _route(index: Index, how: str):
+def _route(index: Index, how: str, *more):
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                lists = getattr(index, how)(matrix(part.column(1)))
+                lists = getattr(index, how)(matrix(part.column(1)), *more)
                 off = np.concatenate([[0], np.cumsum([len(r) for r in lists])])
                 col = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(lists).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), col], ["id", "vec", "lists"])
@@ -140,16 +145,21 @@ def _read(top: int):
             q, c = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
             if not len(q) or not len(c):
                 continue
+            c = c[np.argsort(ids[c], kind="stable")]
             near = unit(x[q]) @ unit(x[c]).T
             near[ids[q][:, None] == ids[c][None, :]] = -9
-            if len(c) > top:
-                least = np.partition(near, len(c) - top, axis=1)[:, len(c) - top] - 1e-9
+            new = np.append(True, ids[c][1:] != ids[c][:-1])  # an id that many rows share counts once
+            own, count = np.cumsum(new) - 1, int(new.sum())
+            if count > top:
+                best = near if count == len(c) else np.maximum.reduceat(near, np.flatnonzero(new), axis=1)
+                least = np.partition(best, count - top, axis=1)[:, count - top] - 1e-9
             else:
                 least = np.full(len(q), -8.0)
             r, k = np.nonzero((near >= least[:, None]) & (near > -8))
             s = cosine(x[q[r]], x[c[k]])
             # the best ``top`` of this part for each query
             order = np.lexsort((ids[c[k]], -s, r))
+            order = order[np.sort(np.unique(r[order] * count + own[k[order]], return_index=True)[1])]
             r, k, s = r[order], k[order], s[order]
             first = np.searchsorted(r, r)
             use = np.arange(len(r)) - first < top
@@ -170,12 +180,31 @@ def search(df: DataFrame, queries, top: int = 5, ident: str = "vec_id", vector:
     sample = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toArrow()
     index = Index(matrix(sample.column("vec")), lists, spill, ratio, copies, width or max(32, int(lists * 0.75)))
     spec = "id long, vec binary, lists array<long>"
-    posts = scratch.keep(base.select("id", "vec").mapInArrow(_route(index, "postings"), spec).select(F.explode("lists").alias("list"), "id", "vec"), "postings")
-    asks = scratch.keep(base.where(queries).select("id", "vec").mapInArrow(_route(index, "probes"), spec).select(F.explode("lists").alias("list"), "id", "vec"), "probes")
+    posts = scratch.keep(base.select("id", "vec").mapInArrow(_route(index, "postings"), spec).select(F.posexplode("lists").alias("nth", "list"), "id", "vec"), "postings")
     # parts of long lists and blocks of many queries; a table of at most MOST rows
-    sizes = posts.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("parts"))
+    sizes = scratch.keep(posts.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("parts"), F.sum((F.col("nth") == 0).cast("long")).alias("held")), "sizes")
+    held = np.zeros(lists, np.int64)
+    for r in sizes.collect():
+        held[r["list"]] = r["held"]
+    asks = scratch.keep(base.where(queries).select("id", "vec").mapInArrow(_route(index, "probes", held, top), spec).select(F.explode("lists").alias("list"), "id", "vec"), "probes")
     blocks = asks.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
-    plan = F.broadcast(sizes.join(blocks, "list"))
+    found = scratch.keep(_compared(posts, asks, sizes.select("list", "parts").join(blocks, "list"), top), "found")
+    # what lists can't give (ids that many rows share, vectors the lists hold too few of) comes from all vectors
+    most = min(top, base.select("id").distinct().count() - 1)
+    have = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
+    asked = base.where(queries).select("id", "vec")
+    short = scratch.keep(asked.join(have, F.col("id") == F.col("query_id"), "left").where(F.coalesce("have", F.lit(0)) < most).select(F.lit(0).cast("long").alias("list"), "id", "vec"), "short")
+    left = short.count()
+    if left:
+        plan = df.sparkSession.range(1).select(F.col("id").alias("list"), F.lit(-(-n // LIST)).cast("int").alias("parts"), F.lit(-(-left // QUERIES)).cast("int").alias("blocks"))
+        exact = _compared(base.select(F.lit(0).cast("long").alias("list"), "id", "vec"), short, plan, top)
+        found = found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(exact)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def _compared(posts: DataFrame, asks: DataFrame, plan: DataFrame, top: int) -> DataFrame:
+    """query_id, vec_id, score and rank of the best ``top`` in the lists asked for; ``plan``: parts and blocks of each list."""
+    plan = F.broadcast(plan)
     h = F.xxhash64("id", F.lit(3))
     p = posts.join(plan, "list").withColumn("part", F.pmod(h, F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     q = asks.join(plan, "list").withColumn("block", F.pmod(h, F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -183,7 +212,7 @@ def search(df: DataFrame, queries, top: int = 5, ident: str = "vec_id", vector:
     work = both.repartition("list", "part", "block").sortWithinPartitions("list", "part", "block")
     found = work.mapInArrow(_read(top), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= top)
 
 
 def digest(df: DataFrame) -> DataFrame:
