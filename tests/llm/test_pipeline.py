@@ -2,8 +2,10 @@
 
 import os
 
+import numpy as np
+
 import corpus_pipeline
-from stratlens.llm import minhash, queries
+from stratlens.llm import language, minhash, queries
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -32,3 +34,20 @@ def test_near_copies_from_080(spark, tmp_path):
     # the query of operator 7 has a threshold of its own
     docs.where("doc_id < 3").write.parquet(os.path.join(tmp_path, "documents.parquet"))
     assert {r["doc_id"]: r["component_id"] for r in queries.op7_minhash(spark, str(tmp_path)).collect()} == {1: 1, 2: 2}
+
+
+def test_decoder_decides(spark):
+    words = {"en": "the of and to in that with for this from".split(), "fr": "les des une dans pour avec être où déjà ça".split()}
+    make = lambda g, i, n=40: " ".join(np.random.default_rng(i).choice(words[g], n))
+    rows = [(i, make(g, i), g) for i in range(120) for g in ["en" if i % 2 else "fr"]]
+    rows += [(1000, make("fr", 7), "en"), (1001, make("en", 8), None), (1002, "123 ...", "en"), (1003, None, "en")]
+    # the same shares of both languages, in steps; somewhere the decoder can't tell
+    rows += [(2000 + k, make("en", k, 40 - k) + " " + make("fr", k, k), None) for k in range(1, 40)]
+    docs = table(spark, rows)
+    model = language.fit(docs.where(language.fold("doc_id", 4) != 2).selectExpr("doc_id as key", "text", "lang"))
+    said = {r["doc_id"]: r for r in language.predict(docs, model).collect()}
+    unsure = {i for i, r in said.items() if r["ambiguous"]}
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify(spark, docs, "").collect()}
+    assert unsure and min(unsure) >= 2000 and set(got) == set(said) - unsure - {1002, 1003}
+    assert got[1000] == "fr" and got[1001] == "en" and all(got[i] == g for i, _, g in rows[:120])
+    assert all(got[i] == said[i]["lang_pred"] for i in got)
