@@ -41,10 +41,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing (operator 6): documents stay by the fitted rates, once each."""
+    """Mixing (operator 6): every row stays as many times as its fitted rate says, so also more than once.
+
+    Rows are told apart by their doc_id and text; equal rows have equal rates.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    chosen = mixing.mix(docs, labels).where("copies > 0").select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi").select(*COLUMNS)
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    copies = mixing.mix(rows, labels, keep=("doc_id", "_row"), by="_row").groupBy("_row").agg(F.max("copies").alias("copies")).where("copies > 0")
+    return rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,11 +152,11 @@ def rates(table: DataFrame, targets: list[float], scratch: Scratch, rounds: int
     return cur
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, scratch: Scratch | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, scratch: Scratch | None = None, keep: tuple[str, ...] = ("doc_id",), by: str = "doc_id") -> DataFrame:
     """keep..., n_tokens, p_<domain>..., rate and copies.
 
     ``targets`` are multiples of each domain's expected tokens (1 where a domain is not named).
-    ``copies`` is the rate rounded down, or up with the chance of its fraction, by a hash of the id.
+    ``copies`` is the rate rounded down, or up with the chance of its fraction, by a hash of the column ``by`` (one of ``keep``).
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     targets = TARGETS if targets is None else targets
@@ -165,6 +165,6 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     names = model[0]
     now = table.agg(*(F.sum(F.col("n_tokens") * F.col("p")[i]).alias(f"a{i}") for i in range(len(names)))).first()
     out = rates(table, [float(x or 0.0) * targets.get(d, 1.0) for d, x in zip(names, now)], scratch)
-    luck = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    luck = F.pmod(F.xxhash64(by, F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (luck < F.col("rate") - F.floor("rate")).cast("int")).cast("long")
     return out.select(*keep, "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(names)), "rate", copies.alias("copies"))

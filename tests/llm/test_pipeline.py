@@ -3,9 +3,11 @@
 import os
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratlens.llm import language, minhash, queries
+from stratlens.llm import language, minhash, mixing, queries
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,3 +53,23 @@ def test_decoder_decides(spark):
     assert unsure and min(unsure) >= 2000 and set(got) == set(said) - unsure - {1002, 1003}
     assert got[1000] == "fr" and got[1001] == "en" and all(got[i] == g for i, _, g in rows[:120])
     assert all(got[i] == said[i]["lang_pred"] for i in got)
+
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def test_mix_meets_targets(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    p = mixing.mix(docs, spark.read.parquet(f"{SMALL}/labels.parquet")).cache()
+    out = corpus_pipeline.mix(spark, docs, SMALL).select("doc_id").cache()
+    assert out.count() > out.distinct().count()
+    tokens = [F.sum(F.expr(f"n_tokens * p_{d}")) for d in mixing.TARGETS]
+    before, after = p.agg(*tokens).first(), out.join(p, "doc_id").agg(*tokens).first()
+    # rates are rounded by chance, document by document: what that spreads each total by
+    spread = p.agg(*(F.sqrt(F.sum(F.expr(f"pow(n_tokens * p_{d}, 2) * (rate - floor(rate)) * (1 - rate + floor(rate))"))) for d in mixing.TARGETS)).first()
+    for k, share in enumerate(mixing.TARGETS.values()):
+        assert after[k] == pytest.approx(share * before[k], abs=3 * spread[k])
+    assert after[0] > before[0] and 3 * spread[0] < 0.06 * before[0]
+    odd = table(spark, [(None, "a b c d", "en"), (None, "e f g", "en"), (7, "same id", "en"), (7, "other text", "en")])
+    lone = corpus_pipeline.mix(spark, docs.limit(50).unionByName(odd), SMALL).where("doc_id is null or source = 's'")
+    assert lone.where("doc_id is null").count() > 0 and lone.where("doc_id = 7").count() > 0
