@@ -28,9 +28,17 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup (operator 7) at a similarity of 0.8 or more: the smallest doc_id of each group stays."""
-    keep = minhash.near_duplicates(docs, minhash.Settings(percent=80, bands=32, rows=4)).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
+    """MinHash near-dedup (operator 7) at a similarity of 0.8 or more: one row of each group, that of the smallest doc_id, stays.
+
+    Rows are told apart by their doc_id and text (a hash of both stands for the id): a null doc_id counts as the
+    largest, equal rows are one, and different texts of one doc_id are judged each by itself.
+    """
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    near = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), minhash.Settings(percent=80, bands=32, rows=4))
+    near = near.select(F.col("doc_id").alias("_row"), "component_id").distinct().join(rows.select("_row", "doc_id").distinct(), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    keep = near.groupBy("component_id").agg(first).select("first._row")
+    return rows.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

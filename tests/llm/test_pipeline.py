@@ -73,3 +73,10 @@ def test_mix_meets_targets(spark):
     odd = table(spark, [(None, "a b c d", "en"), (None, "e f g", "en"), (7, "same id", "en"), (7, "other text", "en")])
     lone = corpus_pipeline.mix(spark, docs.limit(50).unionByName(odd), SMALL).where("doc_id is null or source = 's'")
     assert lone.where("doc_id is null").count() > 0 and lone.where("doc_id = 7").count() > 0
+
+
+def test_near_dedup_of_rows(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a, "en"), (1, a, "en"), (None, a + " more", "en"), (None, b, "en"), (None, b, "en"), (2, c, "en"), (3, c + " more", "en"), (3, d, "en")]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each(spark, table(spark, rows), "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (None, b), (2, c), (3, d)], key=str)
