@@ -114,8 +114,8 @@ def _distinct(toxic: list[bytes], ordinary: list[bytes], most: int = 400) -> lis
     return out
 
 
-def train(texts: list[bytes], label: np.ndarray, size: int = 4096, penalty: float = 1e-3) -> Model:
-    """Dictionaries from every other row, calibration on the rest."""
+def train(texts: list[bytes], label: np.ndarray, size: int = 4096, penalty: float = 1e-3, toxic_share: float | None = None) -> Model:
+    """Dictionaries from every other row, calibration on the rest; ``toxic_share`` is that of the rows sampled from (None: as given)."""
     texts = [bytes(ascii_lower(np.frombuffer(t, np.uint8))) for t in texts]
     build = np.arange(len(texts)) % 2 == 0
     toxic = [t for t, y, k in zip(texts, label, build) if y and k]
@@ -128,14 +128,18 @@ def train(texts: list[bytes], label: np.ndarray, size: int = 4096, penalty: floa
     gains = Gains(ordinary, special)
     x = np.array([gains.features(t) for t, k in zip(texts, build) if not k])
     y = label[~build].astype(float)
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    weight = np.full(len(y), 1 / len(y))
+    if toxic_share is not None:
+        weight = np.where(y > 0, toxic_share / max(1, y.sum()), (1 - toxic_share) / max(1, (1 - y).sum()))
+    mean = weight @ x
+    scale = np.maximum(np.sqrt(weight @ (x - mean) ** 2), 1e-6)
     z = (x - mean) / scale
     w, b = np.zeros(z.shape[1]), 0.0
     for _ in range(40):  # Newton steps of a ridge logistic regression
         p = 1 / (1 + np.exp(-np.clip(z @ w + b, -40, 40)))
         one = np.column_stack([z, np.ones(len(z))])
-        slope = one.T @ (p - y) / len(y) + penalty * np.append(w, 0)
-        bend = (one * (p * (1 - p))[:, None]).T @ one / len(y) + penalty * np.eye(len(w) + 1)
+        slope = one.T @ (weight * (p - y)) + penalty * np.append(w, 0)
+        bend = (one * (weight * p * (1 - p))[:, None]).T @ one + penalty * np.eye(len(w) + 1)
         step = np.linalg.solve(bend, slope)
         w, b = w - step[:-1], b - step[-1]
         if np.abs(step).max() < 1e-6:
@@ -165,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes: in
     if min(label[::2].sum(), label[1::2].sum(), (~label[::2]).sum(), (~label[1::2]).sum()) < 2 if len(label) else True:
         return sizes[True] / (sizes[True] + sizes[False])
     by_class = np.argsort(label, kind="stable")  # either half gets every other row of each class
-    return train([texts[i] for i in by_class], label[by_class])
+    return train([texts[i] for i in by_class], label[by_class], toxic_share=sizes[True] / (sizes[True] + sizes[False]))
 
 
 def score(df: DataFrame, model: Model | float, text: str = "text", keep_text: bool = True) -> DataFrame:
