@@ -63,6 +63,15 @@ def ascii_lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def fresh(name: str, taken) -> str:
+    """A column name like ``name`` that none of ``taken`` equals, whatever its case."""
+    lower = {t.lower() for t in taken}
+    name = f"_{name}"
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 # ---------------------------------------------------------------- hashing
 
 

@@ -1,22 +1,26 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one on what sets toxic text apart
-(runs of words far more frequent in it).  Every window of a text is compressed with the ordinary
-dictionary and with both together; a window that gets shorter with the toxic one resembles toxic
-text.  How many windows gain how much is calibrated, on labelled rows the dictionaries have not
-seen, to a probability; 0.5 is the threshold.
+Two zstandard dictionaries are trained, one on ordinary text and one on toxic text.  Toxic documents
+are mostly ordinary prose, so the toxic dictionary is trained on the windows of toxic documents that
+need explaining: at first those that the ordinary dictionary compresses worst, then, for a few rounds,
+those that the toxic dictionary of the round before shortens most.  Windows of ordinary text that it
+shortens too are added to what the ordinary dictionary is trained on.
 
-Fitting uses at most ``per_class`` labelled rows of either class, chosen by a hash, of at most
-``max_bytes`` each.  Scoring uses whole texts, in overlapping windows.
+Every window of a text is compressed with the ordinary dictionary and with both; a window that gets
+shorter with the toxic one resembles toxic text.  How many windows gain how much is calibrated, on
+labelled rows the dictionaries have not seen, to a probability; 0.5 is the threshold.
+
+Fitting uses at most ``per_class`` labelled rows of either class, chosen by a hash, and reads at most
+``max_bytes`` of each.  Scoring uses whole texts, in overlapping windows.
 
 Defined results: null and empty texts score as texts of which no window gains; if a class has no
-labelled rows every text scores the share of label 1 (0 without labels).  Extra columns pass through.
+labelled rows every text scores the share of label 1 (0 without labels); equal texts score equally.
+Rows are kept one to one, with null or repeated ids.  Extra columns pass through; one named ``score``
+or ``predicted`` is replaced.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,15 +30,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, flat_utf8
+from .common import ascii_lower, flat_utf8, fresh
 from .language import fold
 
-_WORD = re.compile(rb"[a-z\x80-\xff]+")
 WINDOW, STRIDE, LEVEL = 64, 32, 6
+SAMPLE = 32  # bytes of a window that the toxic dictionary is trained on
 STEPS = (1, 2, 3, 4, 5, 6, 8)
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
+_DIGITS = np.arange(256, dtype=np.uint8)
+_DIGITS[48:58] = 48
+
+
+def _folded(data: np.ndarray) -> np.ndarray:
+    """Lower case, and one digit for all: numbers tell nothing here."""
+    return _DIGITS[ascii_lower(data)]
+
+
+def _trained(samples: list[bytes], size: int, k: int) -> bytes:
     """Content of a dictionary trained on the samples; plain text where there are too few to train on."""
     samples = [s for s in samples if len(s) >= 8]
     joined = b"".join(samples)
@@ -43,21 +56,22 @@ def _trained(samples: list[bytes], size: int) -> bytes:
     if len(joined) <= 4 * size or len(samples) < 20:
         samples = samples * max(1, 20 // len(samples), 8 * size // max(1, len(joined)))
     try:
-        return zstd.train_dictionary(size, samples, k=16, d=6).as_bytes()
+        return zstd.train_dictionary(size, samples, k=k, d=6).as_bytes()
     except zstd.ZstdError:
         return joined[-size:]
 
 
+def _compressor(content: bytes) -> zstd.ZstdCompressor:
+    d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=LEVEL)
+    return zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
 class Gains:
     """Window gains of texts: bytes saved by the toxic dictionary."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        raw = zstd.DICT_TYPE_RAWCONTENT
-        self.pair = []
-        for content in (ordinary, ordinary + toxic):
-            d = zstd.ZstdCompressionDict(content, dict_type=raw)
-            d.precompute_compress(level=LEVEL)
-            self.pair.append(zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        self.pair = [_compressor(ordinary), _compressor(ordinary + toxic)]
 
     def of(self, text: bytes) -> np.ndarray:
         plain, both = self.pair[0].compress, self.pair[1].compress
@@ -88,43 +102,52 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _distinct(toxic: list[bytes], ordinary: list[bytes], most: int = 400) -> list[bytes]:
-    """Words, and word beginnings, of toxic texts that ordinary ones hardly have, the clearest first."""
-
-    def seen(texts):
-        c = Counter()
-        for t in texts:
-            words = set(_WORD.findall(t))
-            c.update(words | {w[:k] for w in words for k in (4, 5, 6) if len(w) > k})
-        return c
-
-    a, b = seen(toxic), seen(ordinary)
-    least = max(3, 0.02 * len(toxic))
-    odds = {w: np.log((n + 0.5) / (len(toxic) + 1)) - np.log((b[w] + 0.5) / (len(ordinary) + 1)) for w, n in a.items() if n >= least and len(w) >= 4}
-    good = {w for w in odds if odds[w] > 2.5}
-    # a beginning stands for its longer forms, unless one of them is nearly as frequent
-    longer = {p for w in good for k in (4, 5, 6) if len(w) > k and (p := w[:k]) in good and a[w] >= 0.8 * a[p]}
-    best = sorted(good - longer, key=lambda w: (-odds[w] * a[w], w))
-    out: list[bytes] = []
-    for w in best:
-        if not any(w.startswith(o) for o in out):
-            out.append(w)
-        if len(out) == most:
+def _windows(text: bytes, size: int, step: int) -> list[bytes]:
+    return [text[i : i + size] for i in range(0, max(1, len(text) - size + step), step)]
+
+
+def dictionaries(toxic: list[bytes], plain: list[bytes], size: int = 98304, special: int = 3072, rounds: int = 5, top: int = 3, hard: int = 4000, share: float = 0.005) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary, of at most ``size`` and ``special`` bytes.
+
+    In each round every toxic text gives its ``top`` windows of largest gain, if they gain more than all but a
+    ``share`` of ordinary windows do; the ``hard`` ordinary windows of largest gain become ordinary samples.
+    """
+    rng = np.random.default_rng(3)
+
+    def mixed(windows: list[bytes], most: int) -> list[bytes]:
+        return [windows[i] for i in rng.permutation(len(windows))[:most]]
+
+    base, extra = mixed([w for t in plain for w in _windows(t, WINDOW, WINDOW)], size // 2), []
+    probe = mixed([t[i : i + SAMPLE] for t in plain for i in range(0, len(t), 2 * SAMPLE)], 40_000)
+    parts = [_windows(t, SAMPLE, SAMPLE // 2) for t in toxic]
+    ordinary = _trained(base, size, 32)
+    alone = _compressor(ordinary).compress
+    length = [[len(alone(w)) for w in p] for p in parts]
+    picked = [p[i] for p, n in zip(parts, length) for i in np.argsort(-np.array(n), kind="stable")[: 2 * top]]
+    for k in range(rounds):
+        found = _trained(picked, special, 16)
+        if k == rounds - 1 or not probe:
             break
-    return out
-
-
-def train(texts: list[bytes], label: np.ndarray, size: int = 4096, penalty: float = 1e-3, toxic_share: float | None = None) -> Model:
-    """Dictionaries from every other row, calibration on the rest; ``toxic_share`` is that of the rows sampled from (None: as given)."""
-    texts = [bytes(ascii_lower(np.frombuffer(t, np.uint8))) for t in texts]
-    build = np.arange(len(texts)) % 2 == 0
-    toxic = [t for t, y, k in zip(texts, label, build) if y and k]
-    plain = [t for t, y, k in zip(texts, label, build) if not y and k]
-    marks = _distinct(toxic, plain)
-    find = re.compile(b"|".join(rb"(?<![a-z\x80-\xff])" + re.escape(m) for m in sorted(marks, key=len, reverse=True))) if marks else None
-    runs = [b" " + b" ".join(find.findall(t)) for t in toxic if find.search(t)] if find else toxic
-    ordinary = _trained([t[k : k + WINDOW] for t in plain for k in range(0, len(t), WINDOW)][: 20 * size], size)
-    special = _trained(runs, size // 4) + b" " + b" ".join(reversed(marks)) + b" "
+        both = _compressor(ordinary + found).compress
+        gain = np.array([len(alone(w)) - len(both(w)) for w in probe])
+        order = np.argsort(-gain, kind="stable")
+        least = gain[order[int(len(order) * share)]]
+        extra += [probe[i] for i in order[:hard] if gain[i] >= 2]
+        ordinary = _trained(base + 4 * extra, size, 32)
+        alone, both = _compressor(ordinary).compress, _compressor(ordinary + found).compress
+        next_ = []
+        for p in parts:
+            g = np.array([len(alone(w)) - len(both(w)) for w in p])
+            next_ += [p[i] for i in np.argsort(-g, kind="stable")[:top] if g[i] >= least]
+        picked = next_ or picked
+    return ordinary, found
+
+
+def train(texts: list[bytes], label: np.ndarray, penalty: float = 1e-3, toxic_share: float | None = None) -> Model:
+    """Dictionaries from three of four rows, calibration on the rest; ``toxic_share`` is that of the rows sampled from (None: as given)."""
+    texts = [_folded(np.frombuffer(t, np.uint8)).tobytes() for t in texts]
+    build = np.arange(len(texts)) % 4 != 0
+    ordinary, special = dictionaries([t for t, y, k in zip(texts, label, build) if y and k], [t for t, y, k in zip(texts, label, build) if not y and k])
     gains = Gains(ordinary, special)
     x = np.array([gains.features(t) for t, k in zip(texts, build) if not k])
     y = label[~build].astype(float)
@@ -159,16 +182,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes: in
         part = known.where((F.col("toxic") == cls) & (chance < min(1.0, 1.2 * per_class / sizes[cls]))).orderBy(F.xxhash64("doc_id")).limit(per_class)
         few = part if few is None else few.unionByName(part)
     # at most 2 * per_class rows are broadcast, by their limit
-    rows = docs.where(F.octet_length("text").between(1, max_bytes)).select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    rows = docs.where(F.octet_length("text") > 0).select("doc_id", F.substring("text", 1, max_bytes).alias("text")).join(F.broadcast(few), "doc_id")
     picked = rows.select(F.col("doc_id").alias("key"), "text", "toxic").orderBy("key", F.xxhash64("text")).limit(2 * per_class)
     got = picked.select("key", "text", "toxic").toArrow()
     keys = [str(k) for k in got.column("key").to_pylist()]
     order = sorted(range(len(keys)), key=keys.__getitem__)
     texts = [got.column("text")[int(i)].as_py().encode() for i in order]
     label = np.array(got.column("toxic").to_pylist(), bool)[order] if order else np.zeros(0, bool)
-    if min(label[::2].sum(), label[1::2].sum(), (~label[::2]).sum(), (~label[1::2]).sum()) < 2 if len(label) else True:
+    if min(label.sum(), (~label).sum()) < 8 if len(label) else True:
         return sizes[True] / (sizes[True] + sizes[False])
-    by_class = np.argsort(label, kind="stable")  # either half gets every other row of each class
+    by_class = np.argsort(label, kind="stable")  # of each class, every fourth row calibrates
     return train([texts[i] for i in by_class], label[by_class], toxic_share=sizes[True] / (sizes[True] + sizes[False]))
 
 
@@ -177,7 +200,7 @@ def score(df: DataFrame, model: Model | float, text: str = "text", keep_text: bo
     kept = [f for f in df.schema.fields if f.name not in ("score", "predicted") and (keep_text or f.name != text)]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    source = df.select(*names, F.col(text).cast("string").alias("_text"))
+    source = df.select(*names, F.col(text).cast("string").alias(fresh("text", names)))
 
     def run(batches):
         gains = Gains(model.ordinary, model.toxic) if isinstance(model, Model) else None
@@ -189,7 +212,7 @@ def score(df: DataFrame, model: Model | float, text: str = "text", keep_text: bo
                 s = np.zeros(batch.num_rows)
                 for lo in range(0, batch.num_rows, 512):
                     hi = min(lo + 512, batch.num_rows)
-                    low = ascii_lower(data[off[lo] : off[hi]]).tobytes()
+                    low = _folded(data[off[lo] : off[hi]]).tobytes()
                     s[lo:hi] = model.score(np.array([gains.features(low[off[i] - off[lo] : off[i + 1] - off[lo]]) for i in range(lo, hi)]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
