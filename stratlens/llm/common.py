@@ -7,6 +7,8 @@ megabytes of text, so memory stays bounded by the longest single document plus o
 from __future__ import annotations
 
 import atexit
+import hashlib
+import re
 import uuid
 
 import numpy as np
@@ -118,6 +120,30 @@ class RollingHash:
         return mix64((self.prefix[k:] - self.prefix[: n - k + 1]) * self.inv[: n - k + 1])
 
 
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit codes of the byte ranges [start, end): a mixed chain over blocks of eight bytes.
+
+    Unlike a polynomial modulo 2**64 the chain has no strings that collide by their structure; ranges of
+    more than 256 bytes take a cryptographic hash.
+    """
+    length = (end - start).astype(np.int64)
+    code = mix64(length.astype(U64) + U64(0x243F6A8885A308D3))
+    lanes = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    todo = np.flatnonzero((length > 0) & (length <= 256))
+    at, left = start[todo], length[todo]
+    while len(todo):
+        block = lanes[at].view("<u8").ravel() & _LANE[np.minimum(left, 8)]
+        code[todo] = mix64((code[todo] ^ block) * U64(0xD6E8FEB86659FD93) + U64(0x13198A2E03707344))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(length > 256).tolist():
+        code[i] = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "<u8")[0]
+    return code
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of arange(s, s + n) for all pairs."""
     lengths = lengths.astype(np.int64)
@@ -128,15 +154,28 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts.astype(np.int64) - (ends - lengths), lengths)
 
 
-# ---------------------------------------------------------------- scratch tables
+# ---------------------------------------------------------------- batches and scratch tables
+
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the session's Arrow batches to ``BATCH_BYTES``: executors hold a batch several times over."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(name)
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only where it is unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         import tempfile
 
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         root = spark.conf.get("stratlens.scratch.fallback", None)
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="stratlens-")
@@ -179,16 +218,33 @@ class Scratch:
 # ---------------------------------------------------------------- tiles of a hot group
 
 
-def tiled(df: DataFrame, key: str, tie: str, size: int) -> DataFrame:
+HOT_KEYS = 100_000
+
+
+def tiled(df: DataFrame, key: str, tie: str, size: int, weight: str | None = None, most: int = 0) -> DataFrame:
     """Rows of every key with at least two rows, once for each tile pair (``_i`` <= ``_j``) they belong to.
 
     Adds ``_i``, ``_j`` and the row's own tile ``_t``.  Any two rows of a key meet in exactly one pair
     of tiles (or in all pairs of their common tile; see ``_i`` = ``_j``), and no pair of tiles holds
-    more than about 2 * ``size`` rows, however hot the key is.  Keys of up to 1.5 * ``size`` rows are one tile.
+    more than about 2 * ``size`` rows, or 2 * ``most`` of the column ``weight``, however hot the key is.
+    Keys of up to 1.5 times that are one tile.
+
+    ``df`` is read twice.  Keys of several tiles get their tile in a broadcast join, so they are never one
+    task's: there are at most rows / ``size`` of them, and they are broadcast if they are no more than
+    ``HOT_KEYS``; beyond, a shuffled join (which AQE splits) takes their place.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    many = F.when(F.col("_n") <= int(size * 1.5), F.lit(1)).otherwise(F.ceil(F.col("_n") / size)).cast("int")
-    out = df.join(counts, key).withColumn("_m", many).drop("_n")
+    heavy = F.sum(weight) if weight else F.lit(0)
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), heavy.cast("long").alias("_w")).where("_n > 1")
+    by = [F.when(F.col("_n") <= int(size * 1.5), F.lit(1)).otherwise(F.ceil(F.col("_n") / size))]
+    if weight:
+        by.append(F.when(F.col("_w") <= int(most * 1.5), F.lit(1)).otherwise(F.least("_n", F.ceil(F.col("_w") / most))))
+    counts = counts.select(key, (F.greatest(*by) if weight else by[0]).cast("int").alias("_m"))
+    hot = counts.where("_m > 1")
+    few = hot.limit(HOT_KEYS + 1).count()
+    out = df.join(counts, key)
+    if 0 < few <= HOT_KEYS:
+        hot = F.broadcast(hot)
+        out = df.join(hot.select(key), key, "left_anti").join(counts.where("_m = 1"), key).unionByName(df.join(hot, key))
     out = out.withColumn("_t", F.when(F.col("_m") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col(tie), F.lit(7)), F.col("_m")).cast("int")))
     out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
     return out.withColumn("_i", F.least("_t", "_o")).withColumn("_j", F.greatest("_t", "_o")).drop("_o", "_m")

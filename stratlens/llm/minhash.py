@@ -5,13 +5,16 @@ candidates; of each minimum only the lowest ``bits`` bits are kept, packed into
 similarity of candidates is estimated from the matching signature bits, corrected for chance
 collisions.  Pairs whose estimate is not far below the threshold are confirmed on full shingle sets.
 
-Documents with equal sets are one class and are compared once.  A group of candidates of any size is
-compared in tiles of bounded size, and a tile emits a spanning forest, never all of its pairs.
-
-Defined results: a null text, or one without words, has an empty set and is linked with nothing; a
-text with fewer words than a shingle has its whole word sequence as its only shingle; rows with a
-null doc_id, or repeated doc_ids, are rows of their own class like any other (null ids are ignored).
-Extra columns are ignored.
+Documents with equal sets are one class and are compared once; a class is named by a 128-bit hash of
+its set, so neither null nor repeated ids matter.  The sets of candidates are made once, from whole
+texts.  A group of candidates of any size is compared in tiles of bounded size, and a tile emits a
+spanning forest, never all of its pairs.
+
+Defined results: there is one row for each row of the table.  A null text, or one without words, has an
+empty set and is linked with nothing; a text with fewer words than a shingle has its whole word
+sequence as its only shingle.  Rows that share a doc_id are judged each by its own text.  A null doc_id
+is never a component_id unless its whole component has none; then component_id is null and the rows are
+kept.  Extra columns are ignored; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, Scratch, U64, ascii_lower, binary_column, chunks, components, flat_utf8, mix64, ranges, tiled, union_find
+from .common import Scratch, U64, ascii_lower, binary_column, chunks, components, flat_utf8, mix64, ranges, small_batches, tiled, union_find, word_codes
 
 CHUNK = 1 << 20
-TILE = 256
+TILE, TILE_SHINGLES = 512, 1 << 19
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -45,7 +48,7 @@ def shingles(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray,
     stop = word.copy()
     stop[:-1] &= ~word[1:] | edge[1:-1]
     end = np.flatnonzero(stop) + 1
-    code = RollingHash(data).of(start, end)
+    code = word_codes(data, start, end)
     first = np.searchsorted(start, off)
     words = np.diff(first)
     have = np.maximum(words - size + 1, 0)
@@ -114,12 +117,23 @@ class Settings:
         self.floor = percent / 100 - slack
 
 
+def _classes(sets: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """A 128-bit hash of each set, as two words; ``own`` are the starts of sets that are not empty."""
+    return np.column_stack([np.add.reduceat(mix64(sets + U64(11)), own), np.bitwise_xor.reduceat(mix64(sets + U64(29)), own)])
+
+
+def _rows(docs: DataFrame, text: str) -> DataFrame:
+    """doc_id, row (by which a text is found again) and text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+
+
 def signatures(docs: DataFrame, s: Settings, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, cls (hash of the whole set), bands (64-bit keys) and sig (packed low bits)."""
+    """doc_id, row, n_shingles, cls (hash of the whole set), bands (64-bit keys) and sig (packed low bits)."""
 
     def run(batches):
         for batch in batches:
-            data, off = flat_utf8(batch.column(1))
+            data, off = flat_utf8(batch.column(2))
             for lo, hi in chunks(off, CHUNK):
                 sets, at = shingles(data, off[lo : hi + 1], s.size)
                 count = np.diff(at)
@@ -129,8 +143,7 @@ def signatures(docs: DataFrame, s: Settings, text: str = "text") -> DataFrame:
                 keys, sig = np.zeros((0, s.bands), np.int64), np.zeros((0, 1), np.uint64)
                 if len(full):
                     own = at[:-1][full]
-                    cls[full, 0] = np.add.reduceat(mix64(sets + U64(11)), own)
-                    cls[full, 1] = np.bitwise_xor.reduceat(mix64(sets + U64(29)), own)
+                    cls[full] = _classes(sets, own)
                     low = minima(sets, np.append(own, len(sets)), s.hashes)
                     sig, sig_n[full] = pack(low, s.bits), s.hashes * s.bits // 8
                     band = low[:, : s.bands * s.rows].reshape(len(full), s.bands, s.rows).astype(np.uint64)
@@ -141,21 +154,56 @@ def signatures(docs: DataFrame, s: Settings, text: str = "text") -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(band_n)]), pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, n), pa.array(count), binary_column(cls.view(np.uint8).ravel(), np.arange(n + 1) * 16), lists,
+                        batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(count), binary_column(cls.view(np.uint8).ravel(), np.arange(n + 1) * 16), lists,
                         binary_column(sig.view(np.uint8).ravel(), np.concatenate([[0], np.cumsum(sig_n)])),
                     ],
-                    ["doc_id", "n_shingles", "cls", "bands", "sig"],
+                    ["doc_id", "row", "n_shingles", "cls", "bands", "sig"],
+                )
+
+    return small_batches(_rows(docs, text)).mapInArrow(run, "doc_id long, row long, n_shingles long, cls binary, bands array<long>, sig binary")
+
+
+def _sets(s: Settings):
+    """cls, component, n, sig and the shingles (binary) of the texts whose class is the one asked for."""
+
+    def run(batches):
+        for batch in batches:
+            data, off = flat_utf8(batch.column(2))
+            want, at0 = flat_utf8(batch.column(0))
+            want = np.frombuffer(want[at0[0] : at0[-1]].tobytes(), np.uint64).reshape(-1, 2)
+            for lo, hi in chunks(off, CHUNK):
+                sets, at = shingles(data, off[lo : hi + 1], s.size)
+                full = np.flatnonzero(np.diff(at))
+                if not len(full):
+                    continue
+                own = at[:-1][full]
+                mine = (_classes(sets, own) == want[lo:hi][full]).all(axis=1)
+                sig = pack(minima(sets, np.append(own, len(sets)), s.hashes), s.bits)[mine]
+                full = full[mine]
+                size = np.diff(at)[full]
+                pick = pa.array(lo + full)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pick), batch.column(1).take(pick), pa.array(size), binary_column(sig.view(np.uint8).ravel(), np.arange(len(full) + 1) * sig.shape[1] * 8),
+                        binary_column(sets[ranges(at[:-1][full], size)].view(np.uint8), np.concatenate([[0], np.cumsum(size * 8)])),
+                    ],
+                    ["cls", "component", "n", "sig", "shingles"],
                 )
 
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls binary, bands array<long>, sig binary")
+    return run
 
 
-def _forest(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest reachable) for the nodes that are not the smallest of their own."""
+def _forest(ids: pa.Array, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
+    """(node, node reached) for the nodes that are not the first of their own."""
     root = union_find(len(ids), left.tolist(), right.tolist())
     moved = np.flatnonzero(root != np.arange(len(ids)))
-    return ids[moved], ids[root[moved]]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(moved)), ids.take(pa.array(root[moved]))], ["u", "v"]) if len(moved) else None
+
+
+def _words(column, rows: int) -> np.ndarray:
+    """A binary column of equal lengths as rows of 64-bit words."""
+    data, off = flat_utf8(column)
+    return np.frombuffer(data[off[0] : off[-1]].tobytes(), "<u8").reshape(rows, -1)
 
 
 def _groups(batches, key_columns: int):
@@ -188,19 +236,13 @@ def _groups(batches, key_columns: int):
 def _candidate_links(s: Settings):
     def run(batches):
         for (_, i, j), rows in _groups(batches, 3):
-            ids = rows.column("doc_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            data, off = flat_utf8(rows.column("sig"))
-            sig = np.frombuffer(data[off[0] : off[-1]].tobytes(), "<u8").reshape(len(ids), -1)[order]
-            if len(ids) == 2:
-                near = estimate(sig[:1], sig[1:], s.hashes, s.bits)
-                a, b = (np.array([0]), np.array([1])) if near[0, 0] >= s.floor else (np.zeros(0, int), np.zeros(0, int))
-            else:
-                a, b = np.nonzero(np.triu(estimate(sig, sig, s.hashes, s.bits) >= s.floor, 1))
-            u, v = _forest(ids, a, b)
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            sig, tile = _words(rows.column("sig"), rows.num_rows), rows.column("_t").to_numpy()
+            near = estimate(sig, sig, s.hashes, s.bits) >= s.floor
+            if i != j:  # pairs inside one tile belong to that tile's own task
+                near &= tile[:, None] != tile[None, :]
+            out = _forest(rows.column("cls").combine_chunks(), *np.nonzero(np.triu(near, 1)))
+            if out:
+                yield out
 
     return run
 
@@ -208,31 +250,17 @@ def _candidate_links(s: Settings):
 def _confirmed_links(s: Settings):
     def run(batches):
         for (_, i, j), rows in _groups(batches, 3):
-            ids, tile = rows.column("doc_id").to_numpy(), rows.column("_t").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, tile = ids[order], tile[order]
-            data, off = flat_utf8(rows.column("text"))
-            # texts arrive as they are; their sets are made here, chunk by chunk
-            parts, sizes = [], []
-            for lo, hi in chunks(off, CHUNK):
-                sets, at = shingles(data, off[lo : hi + 1], s.size)
-                parts.append(sets)
-                sizes.append(np.diff(at))
-            size = np.concatenate(sizes)
-            sets, at = np.concatenate(parts), np.concatenate([[0], np.cumsum(size)])
-            mine = [sets[at[k] : at[k + 1]] for k in order]
-            size = size[order]
-            low = minima(sets, at, s.hashes)[order]
-            sig = pack(low, s.bits)
+            sig, tile, size = _words(rows.column("sig"), rows.num_rows), rows.column("_t").to_numpy(), rows.column("n").to_numpy()
+            data, off = flat_utf8(rows.column("shingles"))
             near = np.triu(estimate(sig, sig, s.hashes, s.bits), 1)
             ok = near >= s.floor
-            if i != j:  # pairs inside one tile belong to that tile's own task
+            if i != j:
                 ok &= tile[:, None] != tile[None, :]
             small, large = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
             ok &= 100 * small >= s.percent * large  # a smaller set can't fill the share asked for
             a, b = np.nonzero(ok)
             best = np.argsort(-near[a, b], kind="stable")
-            parent = list(range(len(ids)))
+            parent = list(range(rows.num_rows))
 
             def root(x):
                 while parent[x] != x:
@@ -240,19 +268,23 @@ def _confirmed_links(s: Settings):
                     x = parent[x]
                 return x
 
+            def of(x):
+                return np.frombuffer(data[off[x] : off[x + 1]].tobytes(), "<u8")
+
             for x, y in zip(a[best].tolist(), b[best].tolist()):
                 rx, ry = root(x), root(y)
                 if rx == ry:
                     continue
-                both = np.concatenate([mine[x], mine[y]])
+                both = np.concatenate([of(x), of(y)])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 if 100 * common >= s.percent * (len(both) - common):
                     parent[max(rx, ry)] = min(rx, ry)
-            top = np.array([root(x) for x in range(len(ids))])
-            moved = np.flatnonzero(top != np.arange(len(ids)))
+            top = np.array([root(x) for x in range(rows.num_rows)])
+            moved = np.flatnonzero(top != np.arange(rows.num_rows))
             if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[top[moved]])], ["u", "v"])
+                ids = rows.column("cls").combine_chunks()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(moved)), ids.take(pa.array(top[moved]))], ["u", "v"])
 
     return run
 
@@ -266,21 +298,22 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, text: str
     s = settings or Settings()
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
     base = scratch.keep(signatures(docs, s, text), "signatures")
-    full = base.where("n_shingles > 0")
-    # one representative for every distinct set; copies are never compared
-    reps = full.groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    first = full.join(reps, (full.cls == reps.cls) & (full.doc_id == reps.rep), "left_semi")
-    first = first.dropDuplicates(["doc_id"])
-    keyed = first.select(F.explode("bands").alias("key"), "doc_id", "sig")
-    links = _by_tile(tiled(keyed, "key", "doc_id", 1024), ["key", "_i", "_j", "doc_id", "sig"]).mapInArrow(_candidate_links(s), "u long, v long")
+    # one row for every distinct set; copies are never compared
+    reps = base.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    reps = scratch.keep(reps, "classes")
+    keyed = reps.select(F.explode("bands").alias("key"), "cls", "sig")
+    links = _by_tile(tiled(keyed, "key", "cls", 1024), ["key", "_i", "_j", "_t", "cls", "sig"]).mapInArrow(_candidate_links(s), "u binary, v binary")
     groups = scratch.keep(components(scratch.keep(links, "links"), scratch, "candidates"), "groups")
     # full sets, made from whole texts, confirm links inside each candidate group
-    members = tiled(groups.withColumnRenamed("node", "doc_id"), "component", "doc_id", TILE)
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text"))
-    work = members.join(texts, "doc_id")
-    sure = _by_tile(work, ["component", "_i", "_j", "_t", "doc_id", "text"]).mapInArrow(_confirmed_links(s), "u long, v long")
-    linked = components(scratch.keep(sure, "sure"), scratch, "linked")
-    top = reps.join(linked, reps.rep == linked.node, "left").select("cls", F.coalesce("component", "rep").alias("top"))
+    wanted = groups.join(reps.select("cls", "row"), F.col("node") == F.col("cls")).select("cls", "component", "row")
+    found = wanted.join(_rows(docs, text).drop("doc_id"), "row").select("cls", "component", "text").mapInArrow(_sets(s), "cls binary, component binary, n long, sig binary, shingles binary")
+    members = scratch.keep(found.dropDuplicates(["cls"]), "sets")
+    work = tiled(members, "component", "cls", TILE, "n", TILE_SHINGLES)
+    sure = _by_tile(work, ["component", "_i", "_j", "_t", "cls", "n", "sig", "shingles"]).mapInArrow(_confirmed_links(s), "u binary, v binary")
+    linked = scratch.keep(components(scratch.keep(sure, "sure"), scratch, "linked"), "components")
+    least = linked.join(reps.select("cls", "low"), F.col("node") == F.col("cls")).groupBy("component").agg(F.min("low").alias("top"))
+    tops = linked.join(least, "component").select(F.col("node").alias("cls"), "top", F.lit(True).alias("many"))
+    top = reps.select("cls", "low").join(tops, "cls", "left").select("cls", F.when(F.col("many"), F.col("top")).otherwise(F.col("low")).alias("top"))
     out = base.select("doc_id", "n_shingles", "cls").join(top, "cls", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("top")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
