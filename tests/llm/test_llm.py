@@ -1,14 +1,13 @@
 """Each operator on small tables: against brute force, and on nulls, empties, ties and clashing names."""
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stratlens.llm import bpe, language, licenses, minhash, mixing, neighbours, pivots, preference, substrings, suffixes, toxicity
+from stratlens.llm import bpe, language, mixing, neighbours, pivots, preference, substrings, suffixes, toxicity
 from stratlens.llm.common import flat_utf8
 from stratlens.llm.queries import tokenizer_path
 
@@ -59,13 +58,6 @@ def test_substrings(docs):
     assert substrings.digest(docs.where("false")).collect() == []
 
 
-def test_minhash(docs):
-    got = {r[0]: tuple(r[1:]) for r in minhash.near_duplicates(docs).collect()}
-    assert [got[k][1] for k in (0, 1, 2, 3, 4, 8)] == [0, 0, 0, 3, 4, 8] and got[4][0] == 0 and got[9][0] == 1
-    assert got[0][2] and not got[2][2] and None not in got
-    assert minhash.near_duplicates(docs.where("false")).collect() == []
-
-
 def test_bpe(docs):
     from tokenizers import Tokenizer
 
@@ -88,18 +80,6 @@ def test_language(docs):
     assert (np.abs(code @ code.T)[~np.eye(12, dtype=bool)] < code.shape[1]).all()
 
 
-def test_licenses(docs, spark):
-    t = "Licensed under the Apache License, Version 2.0. CC  by and (General) Public license; All rights reserved"
-    rows = [(1, t), (1, t), (2, None), (3, ""), (None, "cc by cc by"), (4, "permission is hereby granted free of charge to every person obtaining a copy of this software and associated documentation files")]
-    got = [r.asDict() for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    one = [r for r in got if r["doc_id"] == 1]
-    assert len(got) == 6 and one[0] == one[1] and one[0]["labels"] == "apache-2.0,cc-by,gpl,reserved" and one[0]["n_base"] == 3
-    words = re.findall(licenses.WORD, t.lower())
-    assert one[0]["n_words"] == len(words) and one[0]["first_word"] == words.index("cc")
-    assert next(r for r in got if r["doc_id"] is None)["n_base"] == 2 and next(r for r in got if r["doc_id"] == 4)["labels"] == "mit"
-    assert licenses.scan(docs.where("false")).collect() == []
-
-
 def test_mixing(docs, spark):
     labels = spark.createDataFrame([(20 + i, 1, int(i % 4 == 0)) for i in range(40)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
     out = mixing.mix(docs, labels, {"good": 1.0, "toxic": 0.25}).collect()
