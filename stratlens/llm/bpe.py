@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RollingHash, binary_column, chunks, flat_utf8, ranges
+from .common import binary_column, chunks, flat_utf8, frugal, ranges, small_batches, word_codes
 
 NONE = np.int64(1) << 62
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 
 
@@ -174,6 +174,7 @@ class Codec:
         for t in spec.get("added_tokens", []):
             pieces[t["id"]] = t["content"].encode()
             self.special[t["content"].encode()] = t["id"]
+        self.special_len = {i: len(text) for text, i in self.special.items()}
         self.piece_len = np.array([len(p) for p in pieces], np.int64)
         self.piece_at = np.concatenate([[0], np.cumsum(self.piece_len)])[:-1]
         self.piece_data = np.frombuffer(b"".join(pieces), np.uint8)
@@ -328,15 +329,13 @@ class Codec:
         starts = byte_at[pretokens(points, point_at)] if len(points) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(data))
         if forced:  # a special token is one pre-token of its own, whatever it is made of
-            inner = np.zeros(len(starts), bool)
-            for at, _ in forced:
-                inner |= (starts >= at) & (starts < at + max(map(len, self.special)))
-            for at, i in forced:
-                size = next(len(t) for t, x in self.special.items() if x == i)
-                mine = (starts >= at) & (starts < at + size)
-                inner[mine] = starts[mine] != at
-                ends[starts == at] = at + size
-            starts, ends = starts[~inner], ends[~inner]
+            begin, ids = np.array(sorted(forced)).T
+            size = np.array([self.special_len[i] for i in ids.tolist()])
+            at = np.searchsorted(begin, starts, side="right") - 1
+            inside = (at >= 0) & (starts < begin[at] + size[at])
+            heads = inside & (starts == begin[at])
+            ends[heads] = (begin + size)[at[heads]]
+            starts, ends = starts[~inside | heads], ends[~inside | heads]
         token_ids, per = self._unique(data, starts, ends, dict(forced))
         before = np.concatenate([[0], np.cumsum(per)])
         return token_ids, before[np.searchsorted(starts, off)] if len(starts) else np.zeros(len(off), np.int64)
@@ -346,10 +345,9 @@ class Codec:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         length = ends - starts
-        roll = RollingHash(data)
-        code = roll.of(starts, ends)
-        for at, i in forced.items():
-            code[np.searchsorted(starts, at)] = np.uint64(i)
+        code = word_codes(data, starts, ends)
+        if forced:
+            code[np.searchsorted(starts, np.fromiter(forced, np.int64))] = np.fromiter(forced.values(), np.uint64)
         seen, first, back = np.unique(code, return_index=True, return_inverse=True)
         same = data[ranges(starts, length)] == data[ranges(starts[first][back], length)] if (length == length[first][back]).all() else np.zeros(1, bool)
         if not same.all():  # two pre-tokens with one hash: group by bytes instead
@@ -369,12 +367,14 @@ class Codec:
             known[hit] = at[hit]
         fresh = np.flatnonzero(known < 0)
         ids, count = self.merge(data, start[fresh], length[fresh])
-        for at, i in forced.items():  # replace the merged symbols of a special token by its id
-            k = np.flatnonzero(start[fresh] == at)
-            if len(k):
+        if forced:  # replace the merged symbols of a special token by its id
+            own = np.array([forced.get(at, -1) for at in start[fresh].tolist()])
+            if (own >= 0).any():
                 off = np.cumsum(count) - count
-                ids = np.concatenate([ids[: off[k[0]]], [i], ids[off[k[0]] + count[k[0]] :]]).astype(np.int32)
-                count[k[0]] = 1
+                keep = np.repeat(own < 0, count)
+                keep[off[own >= 0]] = True
+                ids[off[own >= 0]] = own[own >= 0]
+                ids, count = ids[keep], np.where(own >= 0, 1, count)
         off = np.cumsum(count) - count
         full_count = np.zeros(len(start), np.int64)
         full_at = np.zeros(len(start), np.int64)
@@ -443,7 +443,7 @@ def encode(df: DataFrame, path: str, text: str = "text", decoded: bool = False,
                     cols.append(_valid_text(*c.decode(ids, at)))
                 yield pa.RecordBatch.from_arrays(cols, [*names, *(n for n, _ in add)])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(frugal(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -461,7 +461,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
                 cols.append(_valid_text(*c.decode(values, (off[lo : hi + 1] - off[lo]) // 4)))
                 yield pa.RecordBatch.from_arrays(cols, [*names, "decoded"])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(frugal(run), schema)
 
 
 def digest(df: DataFrame, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ megabytes of text, so memory stays bounded by the longest single document plus o
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import re
 import uuid
@@ -103,7 +104,7 @@ class RollingHash:
     @classmethod
     def _up_to(cls, n: int):
         if len(cls._powers[0]) < n + 1:
-            size = max(n + 1, 1 << 22)
+            size = max(n + 1, 1 << 20)
             up, down = np.full(size, _BASE), np.full(size, _BASE_INV)
             up[0] = down[0] = 1
             cls._powers = (np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64))
@@ -159,6 +160,22 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 BATCH_BYTES = 4 << 20
 
 
+def frugal(run):
+    """``run`` over batches; when a task ends, what it freed goes back to the system, as its worker stays."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return inner
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, after bounding the session's Arrow batches to ``BATCH_BYTES``: executors hold a batch several times over."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -8,8 +8,9 @@ The classifiers are fitted on at most ``per_language`` labelled rows of each lan
 hash of their id, and ``max_rows`` in all; nothing else is bounded.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; with no labelled
-rows every text is ``und``; with one language it is predicted everywhere with score 1.  Rows keep
-their null ids and repetitions.  Extra columns pass through, those named like a result are replaced.
+rows every text is ``und``; with one language it is predicted everywhere with score 1.  Languages of
+equal loss are decided by their names' order, and flagged.  Rows keep their null ids and repetitions,
+and equal texts get equal results.  Extra columns pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, flat_utf8
+from .common import chunks, flat_utf8, fresh, frugal, small_batches
 
 DIMS = 4096
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 # letters and bytes of other scripts stay (ASCII in lower case), everything else is a blank
 _FOLD = np.full(256, 32, np.uint32)
 for _b in range(256):
@@ -146,7 +147,7 @@ def fit(labelled: DataFrame, per_language: int = 300, max_rows: int = 1500, roun
                 x = features(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts)), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["lang", "x"])
 
-    rows = sample.select("text", "lang", "_h").mapInArrow(run, "lang string, x binary").toArrow()
+    rows = small_batches(sample).select("text", "lang", "_h").mapInArrow(frugal(run), "lang string, x binary").toArrow()
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)
     names = sorted(sizes)
     label = np.array([names.index(v) for v in rows.column("lang").to_pylist()])
@@ -163,7 +164,9 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep_text: b
     kept = [f for f in df.schema.fields if f.name not in add and (keep_text or f.name != text)]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    source = df.select(*names, F.col(text).cast("string").alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    body = fresh("text", names)
+    letters = fresh("letters", [*names, body])
+    source = small_batches(df).select(*names, F.col(text).cast("string").alias(body), F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False)).alias(letters))
     labels = np.array([*(model.languages if model else []), "und"], object)
 
     def run(batches):
@@ -171,8 +174,8 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep_text: b
             data, off = flat_utf8(batch.column(len(names)))
             letters = batch.column(len(names) + 1).to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi in chunks(off, CHUNK):
-                for a in range(lo, hi, 1024):
-                    b = min(hi, a + 1024)
+                for a in range(lo, hi, 512):
+                    b = min(hi, a + 512)
                     best, score, unsure = np.full(b - a, len(labels) - 1), np.zeros(b - a), np.zeros(b - a, bool)
                     real = letters[a:b]
                     if model and real.any():
@@ -181,7 +184,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep_text: b
                     rows = batch.slice(a, b - a)
                     yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(len(names))), pa.array(labels[best], pa.string()), pa.array(score), pa.array(unsure)], [*names, *add])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)
 
 
 def fold(column: str, mod: int):

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, U64, ascii_lower, binary_column, chunks, components, flat_utf8, mix64, ranges, small_batches, tiled, union_find, word_codes
+from .common import Scratch, U64, ascii_lower, binary_column, chunks, components, flat_utf8, frugal, mix64, ranges, small_batches, tiled, union_find, word_codes
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 TILE, TILE_SHINGLES = 512, 1 << 19
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
@@ -160,7 +160,7 @@ def signatures(docs: DataFrame, s: Settings, text: str = "text") -> DataFrame:
                     ["doc_id", "row", "n_shingles", "cls", "bands", "sig"],
                 )
 
-    return small_batches(_rows(docs, text)).mapInArrow(run, "doc_id long, row long, n_shingles long, cls binary, bands array<long>, sig binary")
+    return small_batches(_rows(docs, text)).mapInArrow(frugal(run), "doc_id long, row long, n_shingles long, cls binary, bands array<long>, sig binary")
 
 
 def _sets(s: Settings):
@@ -302,14 +302,14 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, text: str
     reps = base.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     reps = scratch.keep(reps, "classes")
     keyed = reps.select(F.explode("bands").alias("key"), "cls", "sig")
-    links = _by_tile(tiled(keyed, "key", "cls", 1024), ["key", "_i", "_j", "_t", "cls", "sig"]).mapInArrow(_candidate_links(s), "u binary, v binary")
+    links = _by_tile(tiled(keyed, "key", "cls", 1024), ["key", "_i", "_j", "_t", "cls", "sig"]).mapInArrow(frugal(_candidate_links(s)), "u binary, v binary")
     groups = scratch.keep(components(scratch.keep(links, "links"), scratch, "candidates"), "groups")
     # full sets, made from whole texts, confirm links inside each candidate group
     wanted = groups.join(reps.select("cls", "row"), F.col("node") == F.col("cls")).select("cls", "component", "row")
-    found = wanted.join(_rows(docs, text).drop("doc_id"), "row").select("cls", "component", "text").mapInArrow(_sets(s), "cls binary, component binary, n long, sig binary, shingles binary")
+    found = wanted.join(_rows(docs, text).drop("doc_id"), "row").select("cls", "component", "text").mapInArrow(frugal(_sets(s)), "cls binary, component binary, n long, sig binary, shingles binary")
     members = scratch.keep(found.dropDuplicates(["cls"]), "sets")
     work = tiled(members, "component", "cls", TILE, "n", TILE_SHINGLES)
-    sure = _by_tile(work, ["component", "_i", "_j", "_t", "cls", "n", "sig", "shingles"]).mapInArrow(_confirmed_links(s), "u binary, v binary")
+    sure = _by_tile(work, ["component", "_i", "_j", "_t", "cls", "n", "sig", "shingles"]).mapInArrow(frugal(_confirmed_links(s)), "u binary, v binary")
     linked = scratch.keep(components(scratch.keep(sure, "sure"), scratch, "linked"), "components")
     least = linked.join(reps.select("cls", "low"), F.col("node") == F.col("cls")).groupBy("component").agg(F.min("low").alias("top"))
     tops = linked.join(least, "component").select(F.col("node").alias("cls"), "top", F.lit(True).alias("many"))

@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RollingHash, Scratch, U64, binary_column, chunks, flat_utf8, mix64, ranges
+from .common import RollingHash, Scratch, U64, binary_column, chunks, flat_utf8, fresh, frugal, mix64, ranges, small_batches
 from .suffixes import permuted_lcp, suffix_array
 
 GRAM = 24
-PIECE = 1 << 20
+PIECE = 1 << 19
 BLOCK = 1000
-BUCKET_RUNS = 1 << 20
+SHARD_RUNS = 1 << 20
 RUN = np.dtype([("fp", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "<u2")])
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 3 << 18
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -109,22 +109,22 @@ def _found(doc, begin, end, fp=None, block=None) -> pa.RecordBatch:
     )
 
 
-def _scan(length: int, buckets: int):
+def _scan(length: int, shards: int):
     def send(parts):
         runs, again = _collapse(np.concatenate(parts))
         d, b, e = _merged(again["doc"], again["start"], again["start"].astype(np.int64) + again["n"] + length - 1)
-        bucket = (mix64(runs["fp"] + U64(5)) % U64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        runs, bucket = runs[order], bucket[order]
-        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(runs) else np.zeros(0, int)
+        shard = (mix64(runs["fp"] + U64(5)) % U64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        runs, shard = runs[order], shard[order]
+        cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(runs) else np.zeros(0, int)
         off = np.append(cut, len(runs)) * RUN.itemsize
-        kinds, blobs = [bucket[cut]], [binary_column(runs.tobytes(), off)]
+        kinds, blobs = [shard[cut]], [binary_column(runs.tobytes(), off)]
         if len(d):
             known = np.column_stack([d, b, e]).astype("<i8")
-            kinds.append(np.array([-1 - int(d[0]) % buckets]))
+            kinds.append(np.array([-1 - int(d[0]) % shards]))
             blobs.append(binary_column(known.tobytes(), np.array([0, known.nbytes])))
         kinds = np.concatenate(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.concat_arrays(blobs)], ["bucket", "runs"])
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.concat_arrays(blobs)], ["shard", "runs"])
 
     def run(batches):
         held, size = [], 0
@@ -136,9 +136,9 @@ def _scan(length: int, buckets: int):
                 base, stop = off[lo:hi] - first, off[lo + 1 : hi + 1] - first
                 doc = np.arange(lo, hi)
                 jobs = [(buf, base, stop, doc, np.zeros(len(doc), np.int64))]
-                if len(buf) > 8 * PIECE:  # one very long text: pieces that overlap by a window less a byte
-                    cuts = np.arange(0, max(1, len(buf) - length + 1), 4 * PIECE)
-                    jobs = [(buf[c : c + 4 * PIECE + length - 1], np.zeros(1, np.int64), np.array([min(len(buf) - c, 4 * PIECE + length - 1)]), doc, np.array([c])) for c in cuts]
+                if len(buf) > PIECE:  # one very long text: pieces that overlap by a window less a byte
+                    cuts = np.arange(0, max(1, len(buf) - length + 1), PIECE)
+                    jobs = [(buf[c : c + PIECE + length - 1], np.zeros(1, np.int64), np.array([min(len(buf) - c, PIECE + length - 1)]), doc, np.array([c])) for c in cuts]
                 for part, b, s, d, shift in jobs:
                     begin, windows, fp, ctx = _runs_of(part, b, s, length)
                     which = np.searchsorted(b, begin, side="right") - 1
@@ -148,7 +148,7 @@ def _scan(length: int, buckets: int):
                     out["start"], out["n"] = begin - b[which] + shift[which], windows
                     held.append(out)
                     size += len(out)
-                    if size >= BUCKET_RUNS // 2:
+                    if size >= SHARD_RUNS // 2:
                         yield send(held)
                         held, size = [], 0
         if size:
@@ -190,11 +190,11 @@ def _resolve(length: int):
         return out, [] if last else [runs[~ask]]
 
     def run(batches):
-        key, held, size, hot, limit = None, [], 0, {}, 4 * BUCKET_RUNS
+        key, held, size, hot, limit = None, [], 0, {}, 4 * SHARD_RUNS
         for batch in batches:
-            bucket = batch.column(0).to_pylist()
+            shard = batch.column(0).to_pylist()
             data, off = flat_utf8(batch.column(1))
-            for i, b in enumerate(bucket):
+            for i, b in enumerate(shard):
                 raw = data[off[i] : off[i + 1]].tobytes()
                 if b < 0:
                     known = np.frombuffer(raw, "<i8").reshape(-1, 3)
@@ -203,10 +203,10 @@ def _resolve(length: int):
                 if b != key:
                     if held:
                         yield from settle(held, hot, True)[0]
-                    key, held, size, hot, limit = b, [], 0, {}, 4 * BUCKET_RUNS
+                    key, held, size, hot, limit = b, [], 0, {}, 4 * SHARD_RUNS
                 held.append(np.frombuffer(raw, RUN))
                 size += len(held[-1])
-                if size > limit:  # hot anchors leave early, in blocks; the others stay until the bucket ends
+                if size > limit:  # hot anchors leave early, in blocks; the others stay until the shard ends
                     done, held = settle(held, hot, False)
                     yield from done
                     size = len(held[0])
@@ -320,16 +320,16 @@ def repeated_ranges(docs: DataFrame, length: int = 100, text: str = "text", scra
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} at least")
-    plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text"))
+    plain = small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text"))
     volume = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about 2 runs for each (length - GRAM) bytes
-    buckets = max(8, int(volume * 2 / (length - GRAM + 2) / BUCKET_RUNS * 4))
-    runs = plain.mapInArrow(_scan(length, buckets), "bucket long, runs binary")
-    found = scratch.keep(runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(length), _FOUND), "found")
+    shards = max(8, int(volume * 2 / (length - GRAM + 2) / SHARD_RUNS * 4))
+    runs = plain.mapInArrow(frugal(_scan(length, shards)), "shard long, runs binary")
+    found = scratch.keep(runs.repartition("shard").sortWithinPartitions("shard").mapInArrow(frugal(_resolve(length)), _FOUND), "found")
     asked = found.where("fp is not null").groupBy("doc_id").agg(F.collect_list(F.struct("begin", "stop", "fp", "block")).alias("asks"))
-    bytes_of = plain.join(asked, "doc_id").mapInArrow(_contexts, "fp long, block int, doc_id long, begin long, ctx binary")
-    shards = bytes_of.repartition("fp", "block").sortWithinPartitions("fp", "block")
-    sorted_ = scratch.keep(shards.mapInArrow(_sort_shards(length), "doc_id long, begin long, stop long, h1 long, h2 long"), "sorted")
+    bytes_of = plain.join(asked, "doc_id").mapInArrow(frugal(_contexts), "fp long, block int, doc_id long, begin long, ctx binary")
+    blocks = bytes_of.repartition("fp", "block").sortWithinPartitions("fp", "block")
+    sorted_ = scratch.keep(blocks.mapInArrow(frugal(_sort_shards(length)), "doc_id long, begin long, stop long, h1 long, h2 long"), "sorted")
     left = sorted_.where("h1 is not null")
     twice = left.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "begin")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     late = left.join(twice, ["h1", "h2"]).where("doc_id <> lead.doc_id or begin <> lead.begin").select("doc_id", "begin", "stop")
@@ -348,14 +348,16 @@ def deduplicate(docs: DataFrame, length: int = 100, text: str = "text", characte
     kept = [f for f in docs.schema.fields if f.name in names]
     span_type = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("stop", T.LongType())]))
     schema = T.StructType([*kept, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span_type), T.StructField("kept", T.BinaryType())])
-    spans = spans.withColumnRenamed("doc_id", "_of")
-    source = docs.withColumn("_text", F.col(text).cast("string")).join(spans, F.col("doc_id").cast("long") == F.col("_of"), "left").select(*names, "_text", "_spans")
+    body, of, found = (fresh(x, names) for x in ("text", "of", "spans"))
+    spans = spans.select(F.col("doc_id").alias(of), F.col("_spans").alias(found))
+    source = docs.select(*names, F.col(text).cast("string").alias(body), F.col("doc_id").cast("long").alias(fresh("id", [*names, body, of, found])))
+    source = small_batches(source.join(spans, source[source.columns[-1]] == F.col(of), "left").select(*names, body, found))
 
     def run(batches):
         for batch in batches:
             data, off = flat_utf8(batch.column(len(names)))
             lists = batch.column(len(names) + 1).fill_null([])
-            for lo, hi in chunks(off, 8 << 20):
+            for lo, hi in chunks(off, 2 << 20):
                 part = lists.slice(lo, hi - lo)
                 at = part.offsets.to_numpy().astype(np.int64)
                 flat = part.flatten()
@@ -387,7 +389,7 @@ def deduplicate(docs: DataFrame, length: int = 100, text: str = "text", characte
                     [*names, "n_bytes", "n_removed", "spans", "kept"],
                 )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

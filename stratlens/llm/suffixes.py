@@ -1,18 +1,16 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, on whole numpy arrays.
+"""Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are classified as S (smaller than the next) or L, the leftmost S ones (LMS) are sorted as
-substrings by one induction, named, sorted recursively where names repeat, and induce the final
-order.  Inside a bucket the induction advances in waves (one for every repeat of a character), so
-with a byte alphabet each step moves many suffixes at once; names have a large alphabet, for which
-chains of suffixes take their order from the suffix they end in.
+substrings by one induction, named by comparing neighbours, sorted recursively where names repeat, and
+induce the final order.  Every level, of any length, is induced linearly: each suffix is moved once in
+each of two scans.  Byte texts advance in waves of whole arrays (inside a bucket one for every repeat
+of its symbol); names have large alphabets and small buckets, for which one suffix after the other is moved.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .common import U64, mix64
-
 
 def classify(t: np.ndarray) -> np.ndarray:
     """True for S-type positions; the last one is L, as the end counts as the smallest symbol."""
@@ -82,49 +80,33 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray
     return sa
 
 
-def _settle(rank: np.ndarray, todo: np.ndarray) -> None:
-    """Order the positions ``todo``, whose ranks are shared, by the chains of ranks that follow them.
-
-    Every chain ends in a position whose rank is already its own, so doubling the compared length
-    takes as many rounds as the logarithm of the longest chain.
-    """
-    step, n = 1, len(rank) + 1
-    while len(todo):
-        a, b = rank[todo], rank[todo + step]
-        order = np.argsort(a * n + b)
-        todo, a, b = todo[order], a[order], b[order]
-        group = np.append(True, a[1:] != a[:-1])
-        part = group.copy()
-        part[1:] |= b[1:] != b[:-1]
-        at = np.arange(len(todo))
-        rank[todo] = a + np.maximum.accumulate(np.where(part, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
-        todo = todo[~(part & np.append(part[1:], True))]
-        step *= 2
-
-
-def _induce_chains(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
-    """As ``_induce``, for large alphabets: L suffixes take their order from the LMS ones that end
-    their chains, then S suffixes from the L ones, each side in a few rounds over whole arrays."""
+def _induce_names(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """As ``_induce``, one suffix after the other: for large alphabets and short texts."""
     n = len(t)
-    t = t.astype(np.int64)
-    size, lows = np.bincount(t, minlength=k), np.bincount(t[~s], minlength=k)
-    begin = np.cumsum(size) - size
-    rank = np.empty(n + 1, np.int64)
-    # the end is the smallest; a bucket has its L suffixes first
-    large = np.flatnonzero(~s)
-    rank[n] = 0
-    rank[large] = begin[t[large]] + 1
-    by = np.argsort(t[lms], kind="stable")
-    seeds = lms[by]
-    sym = t[seeds]
-    rank[seeds] = begin[sym] + lows[sym] + 1 + np.arange(len(seeds)) - np.searchsorted(sym, sym)
-    _settle(rank, large)
-    small = np.flatnonzero(s)
-    rank[small] = begin[t[small]] + lows[t[small]] + 1
-    _settle(rank, small)
-    sa = np.empty(n, np.int64)
-    sa[rank[:n] - 1] = np.arange(n)
-    return sa
+    end = np.cumsum(np.bincount(t, minlength=k))
+    head, tail = np.append(0, end[:-1]).tolist(), (end - 1).tolist()
+    sym, small, sa = t.tolist(), s.tolist(), [0] * n  # 0: nothing precedes the first suffix, so it moves none
+    last = tail.copy()
+    for i in lms[::-1].tolist():
+        c = sym[i]
+        sa[last[c]] = i
+        last[c] -= 1
+    c = sym[n - 1]
+    sa[head[c]] = n - 1
+    head[c] += 1
+    for at in range(n):
+        i = sa[at]
+        if i and not small[i - 1]:
+            c = sym[i - 1]
+            sa[head[c]] = i - 1
+            head[c] += 1
+    for at in range(n - 1, -1, -1):
+        i = sa[at]
+        if i and small[i - 1]:
+            c = sym[i - 1]
+            sa[tail[c]] = i - 1
+            tail[c] -= 1
+    return np.array(sa, np.int64)
 
 
 def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
@@ -136,7 +118,7 @@ def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
     k = int(t.max()) + 1 if k is None else k
     if k <= 65536:
         t = t.astype(np.uint16)  # a narrow type sorts by radix
-    induce = _induce if k <= 1024 and n > 4096 else _induce_chains
+    induce = _induce if k <= 1024 and n > 4096 else _induce_names
     s = classify(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
     if not len(lms):
@@ -145,20 +127,11 @@ def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = order[is_lms[order]]
-    # name LMS substrings: equal content gets one name; two hashes of each substring decide
-    stop = np.append(lms[1:], n - 1)
+    # name LMS substrings: neighbours of equal content share a name
     where = np.empty(n, np.int64)
     where[lms] = np.arange(len(lms))
-    code = _substring_codes(t, lms, stop)
     rank = where[order]
-    code = code[:, rank]
-    new = np.ones(len(order), bool)
-    new[1:] = (code[:, 1:] != code[:, :-1]).any(axis=0)
-    if len(order):  # the last one ends with the text and equals no other
-        at = np.flatnonzero(rank == len(lms) - 1)[0]
-        new[at] = True
-        if at + 1 < len(new):
-            new[at + 1] = True
+    new = np.append(True, ~_equal_neighbours(t, order, np.append(lms[1:], n)[rank] - order + 1))
     name = np.cumsum(new) - 1
     reduced = np.empty(len(lms), np.int64)
     reduced[rank] = name
@@ -167,22 +140,20 @@ def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
     return induce(t, s, order, k)
 
 
-def _substring_codes(t: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Two 64-bit hashes of each t[start..stop], both ends included."""
-    x = t.astype(np.uint64)
-    out = []
-    for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        base = U64(salt | 1)
-        n = len(x)
-        powers = np.full(n + 1, base)
-        powers[0] = 1
-        powers = np.cumprod(powers, dtype=np.uint64)
-        inverse = np.full(n + 1, U64(pow(int(base), -1, 1 << 64)))
-        inverse[0] = 1
-        inverse = np.cumprod(inverse, dtype=np.uint64)
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(x + U64(salt >> 7)) * powers[:-1])])
-        out.append(mix64((prefix[stop + 1] - prefix[start]) * inverse[start] + (stop - start).astype(np.uint64)))
-    return np.array(out)
+def _equal_neighbours(t: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each substring (start, size) equals the one before it; one that reaches past the end equals none."""
+    left, right, n = start[:-1], start[1:], len(t)
+    inside = start + size <= n
+    out = (size[:-1] == size[1:]) & inside[:-1] & inside[1:]
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([t, np.zeros(8, t.dtype)]), 8)
+    todo, at = np.flatnonzero(out), 0
+    while len(todo):
+        differ = (words[left[todo] + at] != words[right[todo] + at]) & (np.arange(at, at + 8) < size[1:][todo, None])
+        bad = differ.any(axis=1)
+        out[todo[bad]] = False
+        at += 8
+        todo = todo[~bad & (size[1:][todo] > at)]
+    return out
 
 
 def permuted_lcp(data: np.ndarray, sa: np.ndarray, stop: np.ndarray) -> np.ndarray:

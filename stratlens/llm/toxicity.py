@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, flat_utf8, fresh
+from .common import ascii_lower, flat_utf8, fresh, frugal, small_batches
 from .language import fold
 
 WINDOW, STRIDE, LEVEL = 64, 32, 6
@@ -200,7 +200,7 @@ def score(df: DataFrame, model: Model | float, text: str = "text", keep_text: bo
     kept = [f for f in df.schema.fields if f.name not in ("score", "predicted") and (keep_text or f.name != text)]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    source = df.select(*names, F.col(text).cast("string").alias(fresh("text", names)))
+    source = small_batches(df).select(*names, F.col(text).cast("string").alias(fresh("text", names)))
 
     def run(batches):
         gains = Gains(model.ordinary, model.toxic) if isinstance(model, Model) else None
@@ -216,7 +216,7 @@ def score(df: DataFrame, model: Model | float, text: str = "text", keep_text: bo
                     s[lo:hi] = model.score(np.array([gains.features(low[off[i] - off[lo] : off[i + 1] - off[lo]]) for i in range(lo, hi)]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """Each operator on small tables: against brute force, and on nulls, empties, ties and clashing names."""
 
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stratlens.llm import bpe, language, mixing, neighbours, pivots, preference, substrings, suffixes, toxicity
+from stratlens.llm import bpe, language, mixing, neighbours, pivots, preference, substrings, toxicity
 from stratlens.llm.common import flat_utf8
 from stratlens.llm.queries import tokenizer_path
 
@@ -25,7 +26,7 @@ def docs(spark):
     edited[60] = "CHANGED"
     rows = [(0, base, "en"), (1, base, "en"), (2, " ".join(edited), "en"), (3, "", "en"), (4, None, None), (5, "Éa ñ", "fr"), (6, "... 123", "en"), (7, base[:150] + " é " + base[:150], "fr"), (8, text(3, 3000), "en"), (8, text(3, 3000), "en"), (9, "one two", None), (None, base, "en")]
     rows += [(20 + i, text(50 + i, 30) + (" idiot scum" if i % 4 == 0 else ""), "en" if i % 2 else "fr") for i in range(40)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("score", "ids", "_h", "key", "kept", "n", "bands")}).cache()
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("score", "ids", "_h", "key", "kept", "n", "bands", "_text", "_letters", "_of", "_spans", "_n")}).cache()
 
 
 def windows(rows, length=100):
@@ -43,14 +44,6 @@ def windows(rows, length=100):
     return out
 
 
-def test_suffix_array():
-    rng = np.random.default_rng(0)
-    for _ in range(60):
-        t = rng.integers(0, 3, int(rng.integers(1, 50)))
-        b = bytes(t.astype(np.uint8))
-        assert suffixes.suffix_array(t).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
-
-
 def test_substrings(docs):
     got = {r[0]: tuple(r[1:]) for r in substrings.digest(docs).collect()}
     ref = windows([(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None])
@@ -67,6 +60,13 @@ def test_bpe(docs):
     ids, at = c.encode(*flat_utf8(pa.array(texts, pa.string())))
     for i, t in enumerate(texts):
         assert ids[at[i] : at[i + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids
+    many = ["x<|endoftext|>" * 400, "<|endoftext|><|endoftext|>", "<|endof<|endoftext|>text|>", "<|endoftext|> b"]
+    ids, at = c.encode(*flat_utf8(pa.array(many)))
+    for i, t in enumerate(many):
+        assert ids[at[i] : at[i + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
+    began = time.perf_counter()
+    assert len(c.encode(*flat_utf8(pa.array(["x<|endoftext|>" * 50_000])))[0]) == 100_000
+    assert time.perf_counter() - began < 20  # linear; a quadratic way takes minutes
     out = bpe.decode(bpe.encode(docs, path), path)
     assert out.where("decoded <> coalesce(text, '')").count() == 0 and out.count() == docs.count()
 
@@ -76,6 +76,8 @@ def test_language(docs):
     out = {r["doc_id"]: r for r in language.predict(docs, model).collect()}
     assert [out[k]["lang_pred"] for k in (3, 4, 6)] == ["und"] * 3 and 0 <= out[0]["score"] <= 1
     assert {r["lang_pred"] for r in language.predict(docs, None).collect()} == {"und"}
+    assert "_letters" in language.predict(docs, model).columns and language.predict(docs.where("false"), model).collect() == []
+    assert out[0]["lang_pred"] == out[1]["lang_pred"] and language.fit(docs.where("false").selectExpr("doc_id as key", "text", "lang")) is None
     code = language.codebook(12).astype(int)
     assert (np.abs(code @ code.T)[~np.eye(12, dtype=bool)] < code.shape[1]).all()
 
