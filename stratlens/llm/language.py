@@ -105,8 +105,8 @@ class Model:
 
 
 def _train(x: np.ndarray, y: np.ndarray, rounds: int, penalty: float, scale: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regressions for all bits at once, by accelerated gradient steps on the whole sample."""
-    x = x * np.float32(scale)
+    """Logistic regressions for all bits at once, by accelerated gradient steps on the whole sample; ``x`` is scaled in place."""
+    x *= np.float32(scale)
     w = np.zeros((x.shape[1], y.shape[1]), np.float32)
     b = np.zeros(y.shape[1], np.float32)
     vw, vb, step = w.copy(), b.copy(), np.float32(4.0 / (scale * scale + 1))
@@ -145,12 +145,17 @@ def fit(labelled: DataFrame, per_language: int = 300, max_rows: int = 1500, roun
                         at = int(rng.integers(0, len(body) - size))
                         parts.append(body[at : at + size])
                 x = features(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts)), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["lang", "x"])
+                at = [np.flatnonzero(r).astype(np.uint16) for r in x]
+                spots, values = (pa.array([v.tobytes() for v in c], pa.binary()) for c in (at, [r[k].astype(np.float16) for r, k in zip(x, at)]))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts)), spots, values], ["lang", "at", "x"])
 
-    rows = small_batches(sample).select("text", "lang", "_h").mapInArrow(frugal(run), "lang string, x binary").toArrow()
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)
+    rows = small_batches(sample).select("text", "lang", "_h").mapInArrow(frugal(run), "lang string, at binary, x binary").toArrow()
     names = sorted(sizes)
     label = np.array([names.index(v) for v in rows.column("lang").to_pylist()])
+    (at, off), (value, _) = (flat_utf8(rows.column(c)) for c in ("at", "x"))
+    x = np.zeros((len(off) - 1, DIMS), np.float32)
+    x[np.repeat(np.arange(len(x)), np.diff(off) // 2), np.frombuffer(at[off[0] : off[-1]].tobytes(), np.uint16)] = np.frombuffer(value[off[0] : off[-1]].tobytes(), np.float16)
+    del rows, at, value
     code = codebook(len(names))
     if len(names) == 1:
         return Model(names, code, np.zeros((DIMS, 1), np.float32), np.full(1, 40, np.float32), margin)

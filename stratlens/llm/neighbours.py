@@ -8,7 +8,8 @@ reads the lists whose centroids are at most ``ratio`` times as far as its neares
 lists are too short to hold more than ``top`` vectors, as far as the first one with which they do.  A
 query that still has fewer than ``top`` results, though there are more vectors, is compared with all.
 
-The number of lists grows with the square root of the number of vectors up to ``MOST``.  Lists longer
+The number of lists grows with the square root of the number of vectors up to ``MOST``; a search sees a
+beam of ``width`` of their centroids, however many there are.  Lists longer
 than ``LIST`` (copies of a vector can't be told apart by centroids) are cut into parts by a hash, all
 of which are read, and the queries of a part are cut into blocks: no group grows with the data.
 
@@ -24,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, frugal
 from .minhash import _groups
-from .vectors import cosine, dimension, matrix, unit, usable
+from .vectors import cosine, dimension, element, matrix, sampled, unit, usable
 
 SAMPLE = 16384
 MOST = 4096
@@ -64,34 +65,45 @@ class Graph:
         if len(c) > 2 * degree and degree > 0:  # a few long edges keep it connected
             self.next = np.concatenate([self.next, rng.integers(0, len(c), (len(c), 4)), ((np.arange(len(c)) + 1) % len(c))[:, None]], axis=1)
 
-    def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``width`` nearest centroids met, nearest first, and their cosines."""
+    def search(self, q: np.ndarray, width: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """The ``width`` nearest centroids met, nearest first, and their cosines.
+
+        A beam of ``width`` centroids a query; its best unread ones are read, ``at_once`` in a step, until none is left.
+        """
         n, k = len(q), len(self.c)
         width = min(width, k)
-        score = np.full((n, k), -np.inf)
-        seen, done = np.zeros((n, k), bool), np.zeros((n, k), bool)
-        rows = np.arange(n)
-        start = np.unique(np.linspace(0, k - 1, min(k, 8)).astype(int))
-        score[:, start] = q @ self.c[start].T
+        start = np.unique(np.linspace(0, k - 1, min(k, max(8, width // 4))).astype(int))
+        seen = np.zeros((n, k), bool)
         seen[:, start] = True
-        alive = rows
-        while len(alive):
+        ids = np.full((n, max(width, len(start))), -1)
+        score = np.full(ids.shape, -np.inf)
+        ids[:, : len(start)], score[:, : len(start)] = start, q @ self.c[start].T
+        done = np.zeros(ids.shape, bool)
+        alive = np.arange(n)
+        step = min(at_once, ids.shape[1])
+        while len(alive) and self.next.shape[1]:
             open_ = np.where(done[alive], -np.inf, score[alive])
-            best = open_.argmax(axis=1)
-            top = open_[np.arange(len(alive)), best]
-            limit = np.partition(score[alive], k - width, axis=1)[:, k - width]
-            go = np.isfinite(top) & (top >= limit)
-            alive, best = alive[go], best[go]
+            best = np.argpartition(-open_, step - 1, axis=1)[:, :step]
+            real = np.isfinite(np.take_along_axis(open_, best, 1))
+            go = real.any(axis=1)
+            alive, best, real = alive[go], best[go], real[go]
             if not len(alive):
                 break
-            done[alive, best] = True
-            nb = self.next[best]
-            new = ~seen[alive[:, None], nb]
-            r, c = np.nonzero(new)
-            score[alive[r], nb[r, c]] = (q[alive[r]] * self.c[nb[r, c]]).sum(axis=1)
-            seen[alive[:, None], nb] = True
-        order = np.argsort(-score, axis=1, kind="stable")[:, :width]
-        return order, np.take_along_axis(score, order, 1)
+            rows = np.arange(len(alive))[:, None]
+            done[alive[:, None], best] |= real
+            near = self.next[np.where(real, ids[alive[:, None], best], 0)]
+            new = real[:, :, None] & ~seen[alive[:, None, None], near]
+            r, c = np.divmod(np.unique((rows[:, :, None] * k + near)[new]), k)
+            seen[alive[r], c] = True
+            cand_id, cand = np.full((len(alive), step * self.next.shape[1]), -1), np.full((len(alive), step * self.next.shape[1]), -np.inf)
+            slot = np.arange(len(r)) - np.searchsorted(r, r)
+            cand_id[r, slot], cand[r, slot] = c, (q[alive[r]] * self.c[c]).sum(axis=1)
+            all_id, all_s = np.concatenate([ids[alive], cand_id], axis=1), np.concatenate([score[alive], cand], axis=1)
+            all_d = np.concatenate([done[alive], np.zeros(cand.shape, bool)], axis=1)
+            top = np.argpartition(-all_s, ids.shape[1] - 1, axis=1)[:, : ids.shape[1]]
+            ids[alive], score[alive], done[alive] = all_id[rows, top], all_s[rows, top], all_d[rows, top]
+        order = np.lexsort((ids, -score))[:, :width]
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
 
 
 def _distance(cos: np.ndarray) -> np.ndarray:
@@ -125,12 +137,12 @@ class Index:
         return [f[d <= m] for f, d, m in zip(found, far, limit)]
 
 
-def _route(index: Index, how: str, *more):
+def _route(index: Index, kind: str, how: str, *more):
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                lists = getattr(index, how)(matrix(part.column(1)), *more)
+                lists = getattr(index, how)(matrix(part.column(1), kind), *more)
                 off = np.concatenate([[0], np.cumsum([len(r) for r in lists])])
                 col = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(lists).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), col], ["id", "vec", "lists"])
@@ -138,11 +150,11 @@ def _route(index: Index, how: str, *more):
     return run
 
 
-def _read(top: int):
+def _read(top: int, kind: str):
     def run(batches):
         for _, rows in _groups(batches, 3):
-            kind, ids, x = rows.column("kind").to_numpy(), rows.column("id").to_numpy(), matrix(rows.column("vec"))
-            q, c = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+            side, ids, x = rows.column("kind").to_numpy(), rows.column("id").to_numpy(), matrix(rows.column("vec"), kind)
+            q, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(q) or not len(c):
                 continue
             c = c[np.argsort(ids[c], kind="stable")]
@@ -168,7 +180,7 @@ def _read(top: int):
     return run
 
 
-def search(df: DataFrame, queries, top: int = 5, ident: str = "vec_id", vector: str = "embedding", spill: float = 1.15, ratio: float = 1.35, copies: int = 4, width: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+def search(df: DataFrame, queries, top: int = 5, ident: str = "vec_id", vector: str = "embedding", spill: float = 1.15, ratio: float = 1.35, copies: int = 4, width: int = 64, scratch: Scratch | None = None) -> DataFrame:
     """query_id, rank, vec_id and score; ``queries`` is a condition on the column ``id``."""
     scratch = scratch or Scratch(df.sparkSession, "neighbours")
     base = scratch.keep(usable(df, ident, vector, dimension(df, vector)), "vectors")
@@ -177,18 +189,19 @@ def search(df: DataFrame, queries, top: int = 5, ident: str = "vec_id", vector:
     if n == 0:
         return df.sparkSession.createDataFrame([], schema)
     lists = int(min(MOST, max(1, round(n**0.5))))
-    sample = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toArrow()
-    index = Index(matrix(sample.column("vec")), lists, spill, ratio, copies, width or max(32, int(lists * 0.75)))
+    kind = element(df, vector)
+    sample = sampled(base, SAMPLE, n).select("vec").toArrow()
+    index = Index(matrix(sample.column("vec"), kind), lists, spill, ratio, copies, width)
     spec = "id long, vec binary, lists array<long>"
-    posts = scratch.keep(base.select("id", "vec").mapInArrow(_route(index, "postings"), spec).select(F.posexplode("lists").alias("nth", "list"), "id", "vec"), "postings")
+    posts = scratch.keep(base.select("id", "vec").mapInArrow(frugal(_route(index, kind, "postings")), spec).select(F.posexplode("lists").alias("nth", "list"), "id", "vec"), "postings")
     # parts of long lists and blocks of many queries; a table of at most MOST rows
     sizes = scratch.keep(posts.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("parts"), F.sum((F.col("nth") == 0).cast("long")).alias("held")), "sizes")
     held = np.zeros(lists, np.int64)
     for r in sizes.collect():
         held[r["list"]] = r["held"]
-    asks = scratch.keep(base.where(queries).select("id", "vec").mapInArrow(_route(index, "probes", held, top), spec).select(F.explode("lists").alias("list"), "id", "vec"), "probes")
+    asks = scratch.keep(base.where(queries).select("id", "vec").mapInArrow(frugal(_route(index, kind, "probes", held, top)), spec).select(F.explode("lists").alias("list"), "id", "vec"), "probes")
     blocks = asks.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
-    found = scratch.keep(_compared(posts, asks, sizes.select("list", "parts").join(blocks, "list"), top), "found")
+    found = scratch.keep(_compared(posts, asks, sizes.select("list", "parts").join(blocks, "list"), top, kind), "found")
     # what lists can't give (ids that many rows share, vectors the lists hold too few of) comes from all vectors
     most = min(top, base.select("id").distinct().count() - 1)
     have = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
@@ -197,12 +210,12 @@ def search(df: DataFrame, queries, top: int = 5, ident: str = "vec_id", vector:
     left = short.count()
     if left:
         plan = df.sparkSession.range(1).select(F.col("id").alias("list"), F.lit(-(-n // LIST)).cast("int").alias("parts"), F.lit(-(-left // QUERIES)).cast("int").alias("blocks"))
-        exact = _compared(base.select(F.lit(0).cast("long").alias("list"), "id", "vec"), short, plan, top)
+        exact = _compared(base.select(F.lit(0).cast("long").alias("list"), "id", "vec"), short, plan, top, kind)
         found = found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(exact)
     return found.select("query_id", "rank", "vec_id", "score")
 
 
-def _compared(posts: DataFrame, asks: DataFrame, plan: DataFrame, top: int) -> DataFrame:
+def _compared(posts: DataFrame, asks: DataFrame, plan: DataFrame, top: int, kind: str) -> DataFrame:
     """query_id, vec_id, score and rank of the best ``top`` in the lists asked for; ``plan``: parts and blocks of each list."""
     plan = F.broadcast(plan)
     h = F.xxhash64("id", F.lit(3))
@@ -210,7 +223,7 @@ def _compared(posts: DataFrame, asks: DataFrame, plan: DataFrame, top: int) -> D
     q = asks.join(plan, "list").withColumn("block", F.pmod(h, F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     both = p.select("list", "part", "block", F.lit(1).alias("kind"), "id", "vec").unionByName(q.select("list", "part", "block", F.lit(0).alias("kind"), "id", "vec"))
     work = both.repartition("list", "part", "block").sortWithinPartitions("list", "part", "block")
-    found = work.mapInArrow(_read(top), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = work.mapInArrow(frugal(_read(top, kind)), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= top)
 

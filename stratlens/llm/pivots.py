@@ -1,18 +1,24 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
 A vector is described by its ``prefix`` nearest pivots (reference points), in order.  Inverted lists
-are kept for pairs of pivots, so two vectors meet exactly where they share at least two pivots; a
-pair is looked at once more only in the list of its two smallest shared pivots, which the number of
-shared smaller pivots tells.  Candidates are verified by cosine in double precision.
+are kept for pairs of pivots, so two vectors meet exactly where they share at least two; a pair is
+looked at in the list of its two smallest shared pivots only.  There the order counts: of each shared
+pivot, how many of the nested prefixes hold it for both (pivots near the front of both count most).
+Pairs that reach ``least`` are verified by cosine in double precision.
 
-The number of pivots grows with the square root of the number of vectors, so lists keep their length;
-pivots are taken from a bounded sample (``4 * pivots`` rows by a hash, at most ``4 * MOST``), every
-vector is indexed.  Equal vectors are one class and count with their number.  A list of any length
-is compared in tiles of bounded size, which emit counts and a spanning forest, not pairs.
+The index is fitted on a bounded sample (``4 * pivots`` rows by a hash, at least ``LEAST`` and at most ``4 * MOST``); every vector
+is indexed.  Pivots are taken from it, centred on its mean, so that vectors that all point one way are
+told apart too.  ``prefix`` and ``least`` are the smallest and the largest that keep ``recall`` of the sample's
+own links (or, where it has few, of made ones at the very threshold).  The number of pivots grows with the
+square root of the number of vectors, so lists keep their length.
+
+Equal vectors are one class and count with their number.  A list of any length is compared in tiles of
+bounded size, which emit counts and a spanning forest, not pairs.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold null or
-non-finite components link with nothing; rows with null ids are left out; rows that share an id are
-rows of their own that share its component.  Extra columns are ignored.
+non-finite components link with nothing; rows with null ids are left out; rows that share an id have one
+row, with the most links of any and the component of the smallest id that any reaches.  Extra columns
+are ignored; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -22,110 +28,192 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, tiled
-from .minhash import _by_tile, _forest, _groups
-from .vectors import cosine, dimension, matrix, unit, usable
+from .common import Scratch, binary_column, components, frugal, ranges, tiled, union_find
+from .minhash import _by_tile, _groups
+from .vectors import cosine, dimension, element, matrix, sampled, unit, usable
 
-MOST = 8192
+MOST, LEAST = 8192, 4096
 TILE = 512
+PAIRS = 1 << 19
+PREFIXES = (3, 4, 5, 6, 7, 8, 10, 12)
 
 
-def choose(sample: np.ndarray, count: int, apart: float = 0.8) -> np.ndarray:
-    """Up to ``count`` unit vectors of the sample, none of them close to another."""
-    x, picked = unit(sample), []
-    far = np.ones(len(x), bool)
-    for i in range(len(x)):
-        if far[i]:
-            picked.append(i)
-            far &= x @ x[i] < apart
+def choose(x: np.ndarray, count: int) -> list[int]:
+    """Up to ``count`` of the unit vectors, by their places, none of them close to another; closer ones only where there are too few."""
+    picked: list[int] = []
+    for apart in (0.8, 0.9, 0.97, 0.999):
+        far = np.ones(len(x), bool) if not picked else (x @ x[picked].T < apart).all(axis=1)
+        for i in range(len(x)):
             if len(picked) == count:
+                return picked
+            if far[i]:
+                picked.append(i)
+                far &= x @ x[i] < apart
+    return picked or [0]
+
+
+def _agreement(a: np.ndarray, b: np.ndarray, below: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row by row, how many pivots the ordered prefixes share (of those smaller than ``below``, if given) and, over
+    all nested prefixes, how many they have in common."""
+    size = a.shape[1]
+    shared, depth = np.zeros(len(a), np.int16), np.zeros(len(a), np.int16)
+    for i in range(size):
+        for j in range(size):
+            same = a[:, i] == b[:, j]
+            depth += same * np.int16(size - max(i, j))
+            shared += same if below is None else same & (a[:, i] < below)
+    return shared, depth
+
+
+class Index:
+    """Centre, pivots, prefix length and least agreement."""
+
+    def __init__(self, sample: np.ndarray, count: int, threshold: float, recall: float = 0.995):
+        x = unit(sample)
+        self.centre = x.mean(axis=0) if len(x) > 16 else np.zeros(x.shape[1])
+        picked = choose(self.centred(x), count)
+        self.pivots = self.centred(x[picked])
+        rest = np.delete(x, picked, axis=0)  # pivots describe themselves too well
+        a, b = self._links(rest if len(rest) > 100 else x, threshold)
+        top = min(PREFIXES[-1], len(self.pivots))
+        pa_, pb = self.describe(a, top), self.describe(b, top)
+        for self.prefix in [p for p in PREFIXES if p < top] + [top]:
+            shared, depth = _agreement(pa_[:, : self.prefix], pb[:, : self.prefix])
+            if not len(a) or (shared >= 2).mean() >= recall:
                 break
-    return x[picked]
-
-
-def describe(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """The nearest pivots of each row, nearest first (ties to the smaller pivot)."""
-    prefix = min(prefix, len(pivots))
-    near = -(unit(x) @ pivots.T)
-    part = np.argpartition(near, prefix - 1, axis=1)[:, :prefix]
-    part.sort(axis=1)
-    return np.take_along_axis(part, np.argsort(np.take_along_axis(near, part, 1), axis=1, kind="stable"), 1)
-
-
-def _index(pivots: np.ndarray, prefix: int):
+        met = np.sort(depth[shared >= 2])
+        self.least = int(met[int(len(met) * (1 - recall))]) if len(met) else 0
+
+    def centred(self, u: np.ndarray) -> np.ndarray:
+        x = u - self.centre
+        size = np.sqrt((x * x).sum(axis=1))[:, None]
+        return np.where(size > 1e-9, x / np.maximum(size, 1e-9), u)
+
+    @staticmethod
+    def _links(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs of the sample; made ones, turned by just the angle allowed towards another vector, if they are few."""
+        x = x[:4096]
+        near = np.triu(x @ x.T, 1)
+        a, b = np.nonzero((near >= threshold) & (near < 1 - 1e-9))
+        if len(a) >= 100:
+            few = np.random.default_rng(2).permutation(len(a))[:4096]
+            return x[a[few]], x[b[few]]
+        y = x[:1024]
+        w = x[(np.arange(len(y)) * 7 + 1) % len(x)] - x[(np.arange(len(y)) * 11 + 2) % len(x)]
+        w -= (w * y).sum(axis=1)[:, None] * y
+        size = np.sqrt((w * w).sum(axis=1))
+        y, w = y[size > 1e-6], w[size > 1e-6] / size[size > 1e-6][:, None]
+        return y, threshold * y + np.sqrt(1 - threshold**2) * w
+
+    def describe(self, x: np.ndarray, prefix: int | None = None) -> np.ndarray:
+        """The nearest pivots of each row, nearest first (ties to the smaller pivot)."""
+        prefix = min(prefix or self.prefix, len(self.pivots))
+        near = -(self.centred(unit(x)) @ self.pivots.T)
+        part = np.argpartition(near, prefix - 1, axis=1)[:, :prefix]
+        part.sort(axis=1)
+        return np.take_along_axis(part, np.argsort(np.take_along_axis(near, part, 1), axis=1, kind="stable"), 1).astype(np.int16)
+
+
+def _index(index: Index, kind: str):
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            perm = np.sort(describe(matrix(batch.column(2)), pivots, prefix), axis=1).astype(np.int32)
-            a, b = np.triu_indices(perm.shape[1], 1)
-            keys = perm[:, a].astype(np.int64) * (len(pivots) + 1) + perm[:, b] if len(a) else perm.astype(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(perm) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([r.tobytes() for r in perm], pa.binary()), lists], ["id", "n", "vec", "perm", "keys"])
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                perm = index.describe(matrix(part.column(2), kind))
+                low = np.sort(perm, axis=1).astype(np.int64)
+                i, j = np.triu_indices(perm.shape[1], 1)
+                keys = low[:, i] * (len(index.pivots) + 1) + low[:, j] if len(i) else low
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(perm) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
+                perms = binary_column(np.ascontiguousarray(perm).view(np.uint8).ravel(), np.arange(len(perm) + 1) * perm.shape[1] * 2)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), perms, lists], ["cls", "n", "vec", "perm", "keys"])
 
     return run
 
 
-def _verify(threshold: float, pivots: int):
+def _verify(index: Index, kind: str, threshold: float):
+    def solve(held):
+        """Many lists at once: ``held`` are (key, whether it is one tile, rows)."""
+        rows = pa.concat_tables([r for _, _, r in held]).combine_chunks()
+        size = np.array([r.num_rows for _, _, r in held])
+        high = np.repeat([k % (len(index.pivots) + 1) for k, _, _ in held], size)
+        two = np.repeat([not one for _, one, _ in held], size)
+        end = np.repeat(np.cumsum(size), size)
+        ids = rows.column("cls").combine_chunks()
+        name = np.unique(np.array([x.as_py() for x in ids], object), return_inverse=True)[1]
+        first = np.unique(name, return_index=True)[1]
+        mult, tile = rows.column("n").to_numpy(), rows.column("_t").to_numpy()
+        perm = np.frombuffer(b"".join(rows.column("perm").to_pylist()), np.int16).reshape(len(name), -1)
+        x = matrix(rows.column("vec"), kind)
+        links, u, v = np.zeros(len(first), np.int64), [], []
+        after = end - np.arange(len(name)) - 1
+        total, lo = np.cumsum(after), 0
+        while lo < len(name):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] - after[lo] + PAIRS, side="right")))
+            a = np.repeat(np.arange(lo, hi), after[lo:hi])
+            b = ranges(np.arange(lo + 1, hi + 1), after[lo:hi])
+            lo = hi
+            apart = ~two[a] | (tile[a] != tile[b])  # pairs inside one of two tiles belong to that tile's own list
+            a, b = a[apart], b[apart]
+            if perm.shape[1] > 1:
+                smaller, depth = _agreement(perm[a], perm[b], high[a])
+                mine = (smaller == 1) & (depth >= index.least)
+                a, b = a[mine], b[mine]
+            for k in range(0, len(a), 1 << 15):
+                p, q = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
+                sure = cosine(x[p], x[q]) >= threshold
+                p, q = p[sure], q[sure]
+                np.add.at(links, name[p], mult[q])
+                np.add.at(links, name[q], mult[p])
+                u.append(name[p])
+                v.append(name[q])
+        some = np.flatnonzero(links)
+        if not len(some):
+            return
+        root = union_find(len(first), np.concatenate(u).tolist(), np.concatenate(v).tolist())
+        moved = np.flatnonzero(root != np.arange(len(first)))
+        take = lambda k: ids.take(pa.array(first[k]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([take(some), take(moved)]), pa.array(np.concatenate([links[some], np.zeros(len(moved), np.int64)])), pa.concat_arrays([pa.nulls(len(some), pa.binary()), take(root[moved])])],
+            ["u", "n", "v"],
+        )
+
     def run(batches):
+        held, size = [], 0
         for (key, i, j), rows in _groups(batches, 3):
-            ids, mult, tile = (rows.column(c).to_numpy() for c in ("id", "n", "_t"))
-            order = np.argsort(ids, kind="stable")
-            ids, mult, tile, x = ids[order], mult[order], tile[order], matrix(rows.column("vec"))[order]
-            perm = np.frombuffer(b"".join(rows.column("perm").to_pylist()), np.int32).reshape(len(ids), -1)[order]
-            u = unit(x)
-            near = u @ u.T
-            a, b = np.nonzero(np.triu(near >= threshold - 1e-9, 1))
-            if i != j:
-                apart = tile[a] != tile[b]
-                a, b = a[apart], b[apart]
-            if not len(a):
-                continue
-            sure = cosine(x[a], x[b]) >= threshold
-            a, b = a[sure], b[sure]
-            # shared pivots of each pair; it counts in the list of the two smallest of them only
-            low = int(key) // (pivots + 1)
-            high = int(key) % (pivots + 1)
-            smaller = np.where(perm < high, perm, -1 - np.arange(perm.shape[1])[None, :])
-            shared = np.zeros(len(a), np.int64)
-            for c in range(perm.shape[1]):
-                shared += (smaller[a, c][:, None] == np.where(perm[b] < high, perm[b], -99)).any(axis=1)
-            own = shared == 1 if perm.shape[1] > 1 else np.ones(len(a), bool)
-            links = np.zeros(len(ids), np.int64)
-            np.add.at(links, a[own], mult[b[own]])
-            np.add.at(links, b[own], mult[a[own]])
-            some = np.flatnonzero(links)
-            x1, y1 = _forest(ids, a[own], b[own])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([ids[some], x1])), pa.array(np.concatenate([links[some], np.zeros(len(x1), np.int64)])), pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(y1, pa.int64())])],
-                ["u", "n", "v"],
-            )
+            held.append((int(key), i == j, rows))
+            size += rows.num_rows
+            if size >= 4096:
+                yield from solve(held)
+                held, size = [], 0
+        if held:
+            yield from solve(held)
 
     return run
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.95, prefix: int = 7, ident: str = "vec_id", vector: str = "embedding", scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, threshold: float = 0.95, ident: str = "vec_id", vector: str = "embedding", scratch: Scratch | None = None) -> DataFrame:
     """vec_id, n_links, component_id (the smallest id reachable over links) and kept."""
     scratch = scratch or Scratch(df.sparkSession, "pivots")
-    every = df.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("vec_id"))
+    every = df.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("vec_id")).distinct()
+    kind = element(df, vector)
     base = scratch.keep(usable(df, ident, vector, dimension(df, vector)), "vectors")
-    classes = scratch.keep(base.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
-    reps = base.join(classes, ["h1", "h2"]).where("id = rep").select("id", "n", "vec").dropDuplicates(["id"])
+    classes = scratch.keep(base.groupBy("cls").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec")), "classes")
     n = classes.count()
-    count = int(min(MOST, max(16, 2 ** round(np.log2(max(1.0, n) ** 0.5)))))
-    sample = reps.orderBy(F.xxhash64("id"), "id").limit(4 * count).select("vec").toArrow()
     if n == 0:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    pivots = choose(matrix(sample.column("vec")), count)
-    lists = reps.mapInArrow(_index(pivots, prefix), "id long, n long, vec binary, perm binary, keys array<long>")
-    lists = lists.select(F.explode("keys").alias("key"), "id", "n", "vec", "perm")
-    work = _by_tile(tiled(lists, "key", "id", TILE), ["key", "_i", "_j", "_t", "id", "n", "vec", "perm"])
-    found = scratch.keep(work.mapInArrow(_verify(threshold, len(pivots)), "u long, n long, v long"), "links")
+    count = int(min(MOST, max(16, 2 ** round(np.log2(max(1.0, n) ** 0.5)))))
+    index = Index(matrix(sampled(classes, max(LEAST, 4 * count), n).select("vec").toArrow().column("vec"), kind), count, threshold)
+    lists = classes.select("cls", "n", "vec").mapInArrow(frugal(_index(index, kind)), "cls binary, n long, vec binary, perm binary, keys array<long>")
+    lists = scratch.keep(lists, "lists").select(F.explode("keys").alias("key"), "cls", "n", "vec", "perm")
+    work = _by_tile(tiled(lists, "key", "cls", TILE), ["key", "_i", "_j", "_t", "cls", "n", "vec", "perm"])
+    found = scratch.keep(work.mapInArrow(frugal(_verify(index, kind, threshold)), "u binary, n long, v binary"), "links")
     links = found.where("v is null").groupBy("u").agg(F.sum("n").alias("far"))
-    linked = components(found.where("v is not null").select("u", "v"), scratch)
-    per = classes.join(links, F.col("rep") == F.col("u"), "left").join(linked, F.col("rep") == F.col("node"), "left")
-    per = per.select("h1", "h2", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("top"))
-    rows = base.select("id", "h1", "h2").join(per, ["h1", "h2"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("top").alias("top"))
+    linked = scratch.keep(components(found.where("v is not null").select("u", "v"), scratch), "linked")
+    per = classes.select("cls", "id", "n").join(links, F.col("cls") == F.col("u"), "left").join(linked, F.col("cls") == F.col("node"), "left")
+    per = scratch.keep(per.select("cls", "id", "component", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links")), "per")
+    least = per.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+    tops = per.join(least, "component", "left").select("cls", "n_links", F.coalesce("least", "id").alias("top"))
+    rows = base.select("id", "cls").join(tops, "cls").groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("top").alias("top"))
     out = every.join(rows, F.col("vec_id") == F.col("id"), "left")
     top = F.coalesce("top", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), top.alias("component_id"), (top == F.col("vec_id")).alias("kept"))

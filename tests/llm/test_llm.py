@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stratlens.llm import bpe, language, mixing, neighbours, pivots, preference, substrings, toxicity
+from stratlens.llm import bpe, language, mixing, preference, substrings, toxicity
 from stratlens.llm.common import flat_utf8
 from stratlens.llm.queries import tokenizer_path
 
@@ -100,43 +100,6 @@ def test_toxicity(docs, spark):
     assert {r["score"] for r in toxicity.digest(docs, labels.where("false")).collect()} == {0.0}
 
 
-def vectors(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(300, 16))
-    x[100:150] = x[0] + rng.normal(size=(50, 16)) * 0.08
-    x[150:160] = x[0]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    odd = [(900, None), (950, []), (1000, [0.0] * 16), (1001, [float("nan")] * 16), (1002, [None] + [1.0] * 15), (None, [1.0] * 16)]
-    return x, spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumns({"id": F.lit(1), "vec": F.lit(2), "n": F.lit(3)})
-
-
-def test_pivots(spark):
-    x, df = vectors(spark)
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    near = u @ u.T >= 0.95
-    np.fill_diagonal(near, False)
-    got = {r["vec_id"]: r for r in pivots.near_duplicates(df).collect()}
-    found = np.array([got[i]["n_links"] for i in range(300)])
-    assert (found <= near.sum(1)).all() and found.sum() >= 0.98 * near.sum()
-    assert got[150]["component_id"] == 0 and got[1000]["n_links"] == 0 and got[1000]["kept"] and len(got) == 305
-    assert pivots.near_duplicates(df.where("false")).collect() == []
-
-
-def test_neighbours(spark):
-    x, df = vectors(spark)
-    out = neighbours.digest(df).collect()
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    hit = total = 0
-    for q in range(0, 300, 50):
-        s = (u @ u[q]).copy()
-        s[q] = -9
-        best = np.lexsort((np.arange(300), -np.round(s, 12)))[:5]
-        mine = [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q]
-        hit, total = hit + len(set(mine) & set(best.tolist())), total + 5
-    assert hit >= 0.9 * total and {r["query_id"] for r in out} == set(range(0, 300, 50))
-    assert neighbours.digest(df.where("false")).collect() == []
-
-
 def test_preference(spark):
     turn = lambda *x: [{"role": r, "text": t} for r, t in x]
     a = turn(("user", "hi"), ("assistant", "yo"), ("user", "x"), ("assistant", "good"))
