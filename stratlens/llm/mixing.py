@@ -1,21 +1,25 @@
 """Mixing documents to target weights with soft domain membership, in DataFrame operations only.
 
-1. A softmax regression is fitted on labelled documents, over the word beginnings (and marks of
-   length, symbols and repetition) that set domains apart.  About ``per_domain`` rows of a domain are
-   used, chosen by a hash, and ``vocabulary`` marks; both bounds are parameters.
-2. Every document gets its posterior over the domains and its number of tokens.
+1. A softmax regression is fitted on labelled documents, over the beginnings (up to five characters) of all
+   their words, numbers included, and marks of length, symbols and repetition; all hashed to ``DIMS`` places.
+   About ``per_domain`` rows of a domain are used, chosen by a hash: the bound is a parameter.
+2. Every document gets its posterior over the domains, from its whole text, and its number of tokens.
 3. Nonnegative rates are fitted so that the expected tokens of each domain, the sum of rate x tokens
    x posterior, meet the targets: projected gradient steps on the squared residuals, each one pass
    over the table; the step is scaled by the small matrix of domain cross moments, which only has
-   the number of domains squared entries.
+   the number of domains squared entries.  Steps end when the targets are met, or when residuals no
+   longer shrink; if neither happens in ``rounds`` steps there is a warning with the residuals.
 
-Defined results: null and empty texts have no tokens and the prior as posterior; their rate is fitted
-like any other.  Without labelled rows there is one domain ``all``.  Unreachable targets (a domain
-without tokens) leave the closest nonnegative rates.  Rows with null or repeated ids are kept.
+Defined results: null and empty texts have no tokens, and the posterior of a text without words; their
+rate is fitted like any other.  Without labelled rows there is one domain ``all``.  Targets out of reach (a
+domain without tokens) leave the closest nonnegative rates.  Rows with null or repeated ids are kept; equal
+texts have equal posteriors and rates.  Columns other than ``keep`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,19 +27,19 @@ from pyspark.sql import types as T
 
 from .common import Scratch
 
-MARK = r"(?<!\p{L})\p{L}{4,5}"
+DIMS = 4096
 TARGETS = {"good": 1.05, "poor": 0.5, "toxic": 0.1}
 
 
 def marked(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """keep..., n_tokens and marks: distinct word beginnings of a text and marks of its shape.
+    """keep..., n_tokens and marks: the distinct places of a text's word beginnings and of the marks of its shape.
 
     The generators keep each costly expression from being computed anew wherever it is used.
     """
-    rows = docs.select(*keep, F.explode(F.array(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("_t"))
+    rows = docs.select(*keep, F.explode(F.array(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))))).alias("_t"))
     parts = F.struct(
-        F.regexp_extract_all(F.lower("_t"), F.lit(MARK), F.lit(0)).alias("begins"), F.regexp_count("_t", F.lit(r"[^\p{L}\s.,]")).alias("odd"),
-        F.regexp_count("_t", F.lit(r"\S+")).cast("long").alias("n"), (F.length("_t") + 1).alias("size"),
+        F.transform(F.array_remove(F.split("_t", r"[^\p{L}\p{N}]+"), ""), lambda w: F.left(w, F.lit(5))).alias("begins"), F.regexp_count("_t", F.lit(r"[^\p{L}\s.,]")).alias("odd"),
+        F.size(F.array_remove(F.split("_t", r"\s+"), "")).cast("long").alias("n"), (F.length("_t") + 1).alias("size"),
     )
     rows = rows.select(*keep, F.explode(F.array(parts)).alias("_p"))
     rows = rows.select(*keep, "_p", F.explode(F.array(F.array_distinct("_p.begins"))).alias("_d"))
@@ -44,7 +48,8 @@ def marked(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
         F.concat(F.lit("#len"), F.floor(F.log2(F.col("_p.size").cast("double"))).cast("string")),
         F.concat(F.lit("#rep"), F.floor(F.size("_d") / (F.size("_p.begins") + 1) * 8).cast("string")),
     )
-    return rows.select(*keep, F.col("_p.n").alias("n_tokens"), F.concat("_d", shape).alias("marks"))
+    place = F.transform(F.concat("_d", shape), lambda m: F.pmod(F.xxhash64(m), F.lit(DIMS)).cast("int"))
+    return rows.select(*keep, F.col("_p.n").alias("n_tokens"), F.array_distinct(place).alias("marks"))
 
 
 def domain(labels: DataFrame) -> DataFrame:
@@ -53,60 +58,48 @@ def domain(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(name).alias("domain"))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, per_domain: int = 1500, vocabulary: int = 160) -> tuple[list[str], dict[str, list[float]], list[float]]:
-    """Domains, weights of the clearest marks for each, and biases: a softmax regression on the sample."""
+def fit(docs: DataFrame, labelled: DataFrame, per_domain: int = 1500) -> tuple[list[str], list[list[float]], list[float]]:
+    """Domains, the weights of all places for each, and biases: a softmax regression on the sample."""
     sizes = {r[0]: r[1] for r in labelled.groupBy("domain").count().collect()}
     if not sizes:
-        return ["all"], {}, [0.0]
+        return ["all"], [], [0.0]
     names = sorted(sizes)
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.lit(0.0)
     for d, n in sizes.items():
         share = F.when(F.col("domain") == d, F.lit(min(1.0, per_domain / n))).otherwise(share)
     # at most 1.2 * per_domain rows a domain, by construction: the one table that is broadcast
-    few = labelled.where(chance < share).orderBy(F.xxhash64("doc_id")).limit(int(1.2 * per_domain) * len(names))
-    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    got = marked(sample, "domain").select("domain", F.explode("marks").alias("mark"))
-    taken = {r[0]: r[1] for r in labelled.where(chance < share).groupBy("domain").count().collect()}
-    wide = got.groupBy("mark").agg(*(F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(names)))
-    rate = [(F.col(f"n{i}") + 0.5) / (taken.get(d, 0) + 1.0) for i, d in enumerate(names)]
-    middle = sum((F.log(r) for r in rate[1:]), F.log(rate[0])) / len(names)
-    # a mark counts by how far and how often its rates differ
-    gain = F.greatest(*(F.abs(F.log(r) - middle) * r for r in rate), F.lit(0.0))
-    far = F.greatest(*(F.abs(F.log(r) - middle) for r in rate), F.lit(0.0))
-    shape = F.col("mark").startswith("#").cast("int")
-    best = wide.where(((far > 0.9) | (shape == 1)) & (F.greatest(*rate, F.lit(0.0)) > 0.02)).select("mark", gain.alias("gain"), shape.alias("shape")).orderBy(F.desc("shape"), F.desc("gain"), "mark").limit(vocabulary).collect()
-    if not best:
-        return names, {}, [0.0] * len(names)
-    words = [r["mark"] for r in best]
-    known = F.array(*map(F.lit, words))
-    seen = marked(sample, "domain").select("domain", F.array_intersect("marks", known).alias("seen")).select("domain", F.transform("seen", lambda m: F.array_position(known, m).cast("int")).alias("at")).collect()
+    most = int(1.2 * per_domain) * len(names)
+    few = labelled.where(chance < share).orderBy(F.xxhash64("doc_id")).limit(most)
+    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(most)
+    seen = marked(sample, "domain").select("domain", F.array_join(F.col("marks").cast("array<string>"), " ").alias("marks")).collect()
     total = sum(sizes.values())
-    w, bias = _softmax([(names.index(r["domain"]), r["at"]) for r in seen], len(words), np.array([sizes[d] / total for d in names]))
-    return names, {m: [float(v) for v in w[i]] for i, m in enumerate(words)}, [float(v) for v in bias]
+    w, bias = _softmax([(names.index(r["domain"]), np.array(r["marks"].split(), np.int64)) for r in seen], np.array([sizes[d] / total for d in names]))
+    return names, w.T.tolist(), bias.tolist()
 
 
-def _softmax(rows: list[tuple[int, list[int]]], width: int, share: np.ndarray, rounds: int = 400, penalty: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (marks, domains) and biases; rows count so that domains have their shares of the whole."""
+def _softmax(rows: list[tuple[int, np.ndarray]], share: np.ndarray, rounds: int = 200, penalty: float = 3e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (places, domains) and biases; rows count so that domains have their shares of the whole."""
     k = len(share)
-    x = np.zeros((len(rows), width + 1))
-    x[:, width] = 1
-    y = np.zeros((len(rows), k))
+    x, y = np.zeros((len(rows), DIMS + 1), np.float32), np.zeros((len(rows), k), np.float32)
+    x[:, DIMS] = 1
     for i, (d, at) in enumerate(rows):
-        x[i, [a - 1 for a in at]] = 1
+        x[i, at] = 1
         y[i, d] = 1
-    weight = (share / np.maximum(y.sum(axis=0), 1))[y.argmax(axis=1)]
+    if not len(rows):
+        return np.zeros((DIMS, k)), np.log(share)
+    weight = (share / np.maximum(y.sum(axis=0), 1))[y.argmax(axis=1)].astype(np.float32)
     weight /= weight.sum()
-    w = v = np.zeros((width + 1, k))
-    step = 1.0 / (0.5 * float((weight * (x * x).sum(axis=1)).sum()) + penalty)
-    ridge = np.append(np.full(width, penalty), 0.0)[:, None]
+    w = v = np.zeros((DIMS + 1, k), np.float32)
+    step = np.float32(1.0 / (0.5 * float((weight * x.sum(axis=1)).sum()) + penalty))
+    ridge = np.append(np.full(DIMS, penalty), 0.0)[:, None].astype(np.float32)
     for t in range(rounds):
         z = x @ v
         e = np.exp(z - z.max(axis=1, keepdims=True))
         g = x.T @ ((e / e.sum(axis=1, keepdims=True) - y) * weight[:, None]) + ridge * v
         nxt = v - step * g
-        v, w = nxt + (t / (t + 3)) * (nxt - w), nxt
-    return w[:width], w[width]
+        v, w = nxt + np.float32(t / (t + 3)) * (nxt - w), nxt
+    return w[:DIMS].astype(float), w[DIMS].astype(float)
 
 
 def posteriors(docs: DataFrame, model, *keep: str) -> DataFrame:
@@ -115,12 +108,8 @@ def posteriors(docs: DataFrame, model, *keep: str) -> DataFrame:
     rows = marked(docs, *keep)
     if not table:
         return rows.select(*keep, "n_tokens", F.array(*(F.lit(1.0 / len(names)) for _ in names)).alias("p"))
-    known = F.array(*(F.lit(m) for m in table))
-    rows = rows.select(*keep, "n_tokens", F.explode(F.array(F.array_intersect("marks", known))).alias("seen"))
-    spot = F.transform("seen", lambda m: F.array_position(known, m).cast("int"))
-    rows = rows.select(*keep, "n_tokens", F.explode(F.array(spot)).alias("at"))
-    column = [F.array(*(F.lit(v[i]) for v in table.values())) for i in range(len(names))]
-    logs = [F.aggregate(F.transform("at", lambda k: F.element_at(column[i], k)), F.lit(prior[i]), lambda a, x: a + x) for i in range(len(names))]
+    column = [F.expr("array(" + ",".join(f"{v:.7g}D" for v in w) + ")") for w in table]
+    logs = [F.aggregate(F.transform("marks", lambda k: F.get(column[i], k)), F.lit(prior[i]), lambda a, x: a + x) for i in range(len(names))]
     rows = rows.select(*keep, "n_tokens", F.explode(F.array(F.array(*logs))).alias("s"))
     rows = rows.select(*keep, "n_tokens", F.explode(F.array(F.transform("s", lambda x: F.exp(x - F.array_max("s"))))).alias("e"))
     whole = sum((F.col("e")[i] for i in range(1, len(names))), F.col("e")[0])
@@ -131,7 +120,7 @@ def rates(table: DataFrame, targets: list[float], scratch: Scratch, rounds: int
     """Adds ``rate`` to a table of n_tokens and p; ``targets`` are expected tokens of each domain."""
     d = len(targets)
     goal = np.array(targets, float)
-    cur = table.withColumn("rate", F.lit(1.0))
+    cur, before, still = table.withColumn("rate", F.lit(1.0)), np.inf, 0
     for k in range(rounds):
         n = F.col("n_tokens").cast("double")
         p = [F.col("p")[i] for i in range(d)]
@@ -141,14 +130,20 @@ def rates(table: DataFrame, targets: list[float], scratch: Scratch, rounds: int
         row = cur.agg(*(x.alias(f"a{i}") for i, x in enumerate([*sums, *cross]))).first()
         value = np.array([x or 0.0 for x in row], float)
         gap = goal - value[:d]
-        if np.abs(gap).max() <= tolerance * max(1.0, np.abs(goal).max()):
+        scale = max(1.0, np.abs(goal).max())
+        now = float(np.linalg.norm(gap)) / scale
+        still = still + 1 if before - now <= 1e-3 * tolerance else 0
+        if np.abs(gap).max() <= tolerance * scale or still >= 3:  # met, or as near as nonnegative rates get
             break
+        before = min(before, now)
         g = np.zeros((d, d))
         g[np.triu_indices(d)] = value[d:]
         g = g + np.triu(g, 1).T
         step = np.linalg.lstsq(g + np.eye(d) * (1e-9 * (np.trace(g) + 1)), gap, rcond=None)[0]
         move = sum((p[i] * float(step[i]) for i in range(1, d)), p[0] * float(step[0]))
         cur = scratch.keep(cur.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") + move)), f"rates-{k}", drop=(f"rates-{k - 1}",))
+    else:
+        warnings.warn(f"the rates have not settled in {rounds} steps; the domains' tokens were last off by {gap.tolist()}", stacklevel=2)
     return cur
 
 

@@ -6,7 +6,8 @@ character ranges to learn from, the texts of assistant turns with their end mark
 
 Defined results: a null role reads ``user`` and a null text is empty; equal conversations have
 empty completions; a null or empty conversation has an empty completion and the prompt is empty;
-prompts never take more than the shorter conversation.  Extra columns pass through.
+prompts never take more than the shorter conversation.  Rows are kept one to one, with null or repeated
+ids.  Extra columns pass through; those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
+RESULTS = ("n_prompt_turns", "prompt", "chosen_completion", "chosen_learn", "rejected_completion", "rejected_learn")
 OPEN, SHUT, END = "<|", "|>\n", "<|end|>\n"
 
 
@@ -48,15 +52,17 @@ def _ranges(turns) -> F.Column:
 
 def prefer(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """Replaces the two turn lists by prompt, n_prompt_turns, and text and learn ranges of either completion."""
-    keep = [c for c in pairs.columns if c not in (chosen, rejected)]
-    rows = pairs.select(*keep, F.explode(F.array(F.struct(_turns(chosen).alias("a"), _turns(rejected).alias("b")))).alias("_c"))
-    same = F.zip_with("_c.a", "_c.b", lambda x, y: F.coalesce((x["role"] == y["role"]) & (x["text"] == y["text"]), F.lit(False)))
+    keep = [c for c in pairs.columns if c.lower() not in (chosen.lower(), rejected.lower(), *RESULTS)]
+    both, at = fresh("turns", keep), fresh("at", keep)
+    rows = pairs.select(*keep, F.explode(F.array(F.struct(_turns(chosen).alias("a"), _turns(rejected).alias("b")))).alias(both))
+    turns = {k: F.col(both)[k] for k in "ab"}
+    same = F.zip_with(turns["a"], turns["b"], lambda x, y: F.coalesce((x["role"] == y["role"]) & (x["text"] == y["text"]), F.lit(False)))
     first = F.array_position(same, F.lit(False))
-    n = F.when(first > 0, first - 1).otherwise(F.least(F.size("_c.a"), F.size("_c.b"))).cast("int")
-    rows = rows.select(*keep, "_c", F.explode(F.array(n)).alias("_n"))
-    rest = {k: F.slice(f"_c.{k}", F.col("_n") + 1, F.greatest(F.size(f"_c.{k}") - F.col("_n"), F.lit(0))) for k in "ab"}
+    n = F.when(first > 0, first - 1).otherwise(F.least(F.size(turns["a"]), F.size(turns["b"]))).cast("int")
+    rows = rows.select(*keep, both, F.explode(F.array(n)).alias(at))
+    rest = {k: F.slice(t, F.col(at) + 1, F.greatest(F.size(t) - F.col(at), F.lit(0))) for k, t in turns.items()}
     return rows.select(
-        *keep, F.col("_n").alias("n_prompt_turns"), _render(F.slice("_c.a", F.lit(1), F.col("_n"))).alias("prompt"),
+        *keep, F.col(at).alias("n_prompt_turns"), _render(F.slice(turns["a"], F.lit(1), F.col(at))).alias("prompt"),
         _render(rest["a"]).alias("chosen_completion"), _ranges(rest["a"]).alias("chosen_learn"), _render(rest["b"]).alias("rejected_completion"), _ranges(rest["b"]).alias("rejected_learn"),
     )
 
@@ -71,7 +77,7 @@ def neighbour_pairs(df: DataFrame) -> DataFrame:
     """(conv_id, chosen, rejected): each conversation, and its first half continued by the second half
     of the conversation with the next id (its own, if there is none)."""
     conv = conversations(df)
-    other = conv.select((F.col("conv_id") - 1).alias("conv_id"), F.col("turns").alias("other"))
+    other = conv.select(F.try_subtract("conv_id", F.lit(1)).alias("conv_id"), F.col("turns").alias("other"))
     half = F.ceil(F.size("turns") / 2).cast("int")
     late = F.coalesce("other", "turns")
     at = F.ceil(F.size(late) / 2).cast("int")

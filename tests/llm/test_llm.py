@@ -89,6 +89,10 @@ def test_mixing(docs, spark):
     for d, share in (("good", 1.0), ("toxic", 0.25)):
         now = sum(r["n_tokens"] * r[f"p_{d}"] for r in out)
         assert sum(r["rate"] * r["n_tokens"] * r[f"p_{d}"] for r in out) == pytest.approx(share * now, rel=1e-3)
+    far = mixing.mix(docs, labels, {"good": 0.0, "toxic": 40.0}).collect()  # rates can't give one without the other
+    assert min(r["rate"] for r in far) >= 0 and len({r["rate"] for r in far if r["doc_id"] in (0, 1)}) == 1
+    with pytest.warns(UserWarning, match="not settled"):
+        mixing.rates(spark.sql("select 10L n_tokens, array(0.5D, 0.5D) p union all select 5L, array(0.9D, 0.1D)"), [1.0, 30.0], mixing.Scratch(spark, "t"), rounds=1)
     assert mixing.mix(docs, labels.where("false")).count() == docs.count()
     assert mixing.mix(docs.where("false"), labels.where("false")).count() == 0
 
@@ -109,4 +113,9 @@ def test_preference(spark):
     assert got[1]["n_prompt_turns"] == 3 and got[2]["chosen_completion"] == "" and got[3]["prompt"] == ""
     r = got[1]
     s = r["chosen_learn"][0]
+    odd = preference.prefer(df.withColumns({c: F.lit(1) for c in ("_c", "_n", "prompt", "_turns", "_at")}))
+    assert odd.columns.count("prompt") == 1 and {x["id"]: x["prompt"] for x in odd.collect()} == {k: x["prompt"] for k, x in got.items()}
+    few = [(-(2**63), 1, "user", "a"), (-(2**63), 1, "user", "a"), (5, 1, None, None), (5, 2, "assistant", ""), (None, 1, "user", "b")]
+    flat = spark.createDataFrame(few, "conv_id long, turn int, role string, text string")
+    assert {x["conv_id"]: x["n_prompt_turns"] for x in preference.digest(flat).collect()} == {-(2**63): 2, 5: 2} and preference.digest(flat.where("false")).collect() == []
     assert r["chosen_completion"][s["begin"] : s["stop"]] == "good<|end|>\n" and len(r["rejected_learn"]) == 1
