@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 NA, TOTAL, OUT = "<NA>", "TOTAL", "<OUT>"
 
 
+def named(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def clean(x: Column, is_float: bool) -> Column:
     """NaN counts as missing."""
     return F.when(F.isnan(x), None).otherwise(x) if is_float else x
@@ -60,7 +65,7 @@ def interval_labels(edges: list[float]) -> list[str]:
 
 
 def float_label(x: Column) -> Column:
-    """A double as the shortest text with Python's rules: 1e7 is 10000000.0, 1e-5 is 1e-05."""
+    """A double or float as its shortest text with Python's rules: 1e7 is 10000000.0, 1e-5 is 1e-05."""
     s = x.cast("string")
     m, e = F.substring_index(s, "E", 1), F.substring_index(s, "E", -1).cast("int")
     sign = F.when(m.startswith("-"), "-").otherwise("")
@@ -78,7 +83,7 @@ def float_label(x: Column) -> Column:
 
 def value_label(x: Column, kind: str) -> Column:
     if kind in ("double", "float"):
-        return float_label(x.cast("double"))
+        return float_label(x)  # a float has fewer digits than the double it becomes
     if kind == "boolean":
         return F.initcap(x.cast("string"))
     return x.cast("string")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.binning import interval_index, value_label
+from ..functions.binning import clean, interval_index, named, value_label
 from ..sources.tables import ColumnTypes, distinct_counts, guess_type
-from .histogram import Histogram, gini_of, gini_of_rates
+from .histogram import Histogram, gini_of, gini_of_rates, histograms
+from .scoring import without_total
 from .stats import discrete_stats, interval_stats
 from .tree import grow, leaf_bounds
 
@@ -25,8 +26,16 @@ def is_warning(table: DataFrame) -> bool:
     return table.columns == ["warning"]
 
 
-def calc(df: DataFrame, variable: str, target: str, pred: str | None = None, weights: str | None = None, bins=50, total: bool = True, min_info: bool = False, sort_by: str | None = None, ascending: bool = True, discrete_threshold: int = 20, categorical_max_levels: int = 20, analytical_type: str | None = None) -> DataFrame:
-    """Statistics of a variable by its type; a one-row ``warning`` table if it has too many levels."""
+def calc(df: DataFrame, variable: str, target: str, pred: str | None = None, weights: str | None = None, bins=50, total: bool = True, min_info: bool = False, sort_by: str | None = None, ascending: bool = True, discrete_threshold: int = 20, categorical_max_levels: int = 20, analytical_type: str | None = None, plot: bool = False):
+    """Statistics of a variable by its type; a one-row ``warning`` table if it has too many levels.
+
+    With ``plot`` the table and an SVG of its shares and rates.
+    """
+    if plot:
+        from ..plans.report import two_series
+
+        table = calc(df, variable, target, pred, weights, bins, total, False, sort_by, ascending, discrete_threshold, categorical_max_levels, analytical_type)
+        return table, "" if is_warning(table) else two_series(table, variable)
     n = distinct_counts(df, [variable])[variable]
     kind = analytical_type or guess_type(df, variable, discrete_threshold, n)
     options = {"pred": pred, "weights": weights, "total": total, "min_info": min_info, "sort_by": sort_by, "ascending": ascending}
@@ -37,21 +46,35 @@ def calc(df: DataFrame, variable: str, target: str, pred: str | None = None, wei
     raise ValueError(f"unknown analytical type {kind!r}")
 
 
-def gen_buckets(df: DataFrame, types: ColumnTypes, categorical_max_levels: int = 20) -> dict[str, DataFrame]:
-    """A bucket table for every explanatory variable."""
+def gen_tables(df: DataFrame, types: ColumnTypes, categorical_max_levels: int = 20) -> dict[str, DataFrame]:
+    """A table of statistics for every explanatory variable; all continuous ones come from one scan."""
     target, out = types.target, {}
+    shared, kept = _continuous(df, types)
     for v in types.types.values():
         if v.role in ("skipped", "target"):
             continue
         if v.analytical_type in ("discrete", "categorical"):
             out[v.column_name] = warning(df) if v.distinct > categorical_max_levels else discrete_stats(df, v.column_name, target)
         elif v.analytical_type == "continuous":
-            out[v.column_name] = interval_stats(df, v.column_name, target)
+            out[v.column_name] = interval_stats(df, v.column_name, target, histogram=shared[v.column_name])
         else:
             raise ValueError(f"unknown analytical type {v.analytical_type!r}")
+    _release(shared, kept)
     return out
 
 
+def _continuous(df: DataFrame, types: ColumnTypes) -> tuple[dict[str, Histogram], DataFrame | None]:
+    names = [v.column_name for v in types.types.values() if v.role not in ("skipped", "target") and v.analytical_type == "continuous"]
+    return histograms(df, names, types.target) if names else ({}, None)
+
+
+def _release(shared: dict[str, Histogram], kept: DataFrame | None) -> None:
+    for h in shared.values():
+        h.release()
+    if kept is not None:
+        kept.unpersist()
+
+
 def level_stats(df: DataFrame, types: ColumnTypes, categorical_max_levels: int = 20) -> DataFrame:
     """One long table (variable, bin, sum_target, n_obs, avg_target) of all variables with few levels,
     from one scan and one shuffle: columns are unpivoted and grouped together."""
@@ -59,8 +82,8 @@ def level_stats(df: DataFrame, types: ColumnTypes, categorical_max_levels: int =
     few = [v for v in types.types.values() if v.role == "explanatory" and v.analytical_type != "continuous" and v.distinct <= categorical_max_levels]
     if not few:
         return df.sparkSession.createDataFrame([], "variable string, bin string, sum_target double, n_obs double, avg_target double")
-    label = F.array(*(F.struct(F.lit(v.column_name).alias("variable"), F.coalesce(value_label(F.col(v.column_name), v.dtype), F.lit("<NA>")).alias("bin")) for v in few))
-    rows = df.select(F.col(target).cast("double").alias("y"), F.explode(label).alias("v"))
+    label = F.array(*(F.struct(F.lit(v.column_name).alias("variable"), F.coalesce(value_label(clean(named(v.column_name), v.dtype in ("double", "float")), v.dtype), F.lit("<NA>")).alias("bin")) for v in few))
+    rows = df.select(named(target).cast("double").alias("y"), F.explode(label).alias("v"))
     out = rows.groupBy("v.variable", "v.bin").agg(F.coalesce(F.sum("y"), F.lit(0.0)).alias("sum_target"), F.count(F.lit(1)).cast("double").alias("n_obs"))
     return out.withColumn("avg_target", F.try_divide("sum_target", "n_obs"))
 
@@ -77,9 +100,8 @@ class VariableReport:
 
 def chart_data(table: DataFrame) -> DataFrame:
     """x (median, or the bin where there is none), avg_target and marker size, without the total."""
-    rows = table.where("bin <> 'TOTAL'")
-    middle = rows.agg(F.count("median")).first()[0]
-    mean = rows.agg(F.avg("n_obs")).first()[0]
+    rows = without_total(table)
+    middle, mean = rows.agg(F.count("median"), F.avg("n_obs")).first()
     x = F.col("median").cast("string") if middle else F.col("bin")
     return rows.orderBy("nr").select(x.alias("x"), F.col("median").alias("x_num"), "avg_target", F.try_divide(F.col("n_obs") * 25, F.lit(mean)).alias("size"))
 
@@ -95,6 +117,7 @@ def gen_report_objects(df: DataFrame, types: ColumnTypes, max_levels: int = 20,
     """Ginis, table and chart of every variable; continuous ones show their tree's intervals and chart
     their quantiles.  Everything of a variable comes from one histogram."""
     target, out = types.target, {}
+    shared, kept_table = _continuous(df, types)
     for v in types.types.values():
         name = v.column_name
         if v.role in ("skipped", "target"):
@@ -111,7 +134,7 @@ def gen_report_objects(df: DataFrame, types: ColumnTypes, max_levels: int = 20,
             out[name] = VariableReport(name, g, g, table, [r.asDict() for r in chart_data(table).collect()])
             h.release()
             continue
-        h = Histogram(df, name, target, as_double=True)
+        h = shared[name]
         try:
             if h.totals["n"]:
                 edges = [h.totals["low"] - 1, *leaf_bounds(grow(h, max_depth, min_samples_leaf)), h.totals["high"] + 1]
@@ -122,6 +145,7 @@ def gen_report_objects(df: DataFrame, types: ColumnTypes, max_levels: int = 20,
             out[name] = VariableReport(name, gini_of(h), gini_of_rates(_rates(h, edges)) if edges else None, table, [r.asDict() for r in chart_data(quantiles).collect()])
         finally:
             h.release()
+    _release({}, kept_table)
     return out
 
 

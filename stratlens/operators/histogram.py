@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.binning import clean, interval_index
+from ..functions.binning import clean, interval_index, named
 
 SLICES = 128
 NUMERIC = (T.NumericType, T.BooleanType)
@@ -35,7 +35,11 @@ def require_column(df: DataFrame, *names: str | None) -> None:
 
 @dataclass
 class Histogram:
-    """Rows, positives and weighted sums of each value; ``value`` keeps the variable's type unless ``as_double``."""
+    """Rows, positives and weighted sums of each value; ``value`` keeps the variable's type unless ``as_double``.
+
+    ``keep`` persists what is used more than once, until ``release``.  ``shared`` is a table of values made
+    together with other variables' (``histograms``).
+    """
 
     df: DataFrame
     variable: str
@@ -43,7 +47,9 @@ class Histogram:
     pred: str | None = None
     weights: str | None = None
     as_double: bool = False
-    one_slice: int = 1_000_000
+    one_slice: int = 200_000
+    keep: bool = True
+    shared: DataFrame | None = None
     kept: list[DataFrame] = field(default_factory=list)
 
     def __post_init__(self) -> None:
@@ -51,11 +57,14 @@ class Histogram:
 
     @cached_property
     def values(self) -> DataFrame:
+        if self.shared is not None:
+            return self.shared
+
         def number(c: str):
-            return clean(F.col(c).cast("double"), True)
+            return clean(named(c).cast("double"), True)
 
         kind = self.df.schema[self.variable].dataType
-        x = F.col(self.variable)
+        x = named(self.variable)
         x = clean(x, isinstance(kind, (T.DoubleType, T.FloatType)))
         if self.as_double:
             x = clean(x.cast("double"), True)
@@ -65,8 +74,9 @@ class Histogram:
         out = rows.groupBy("value").agg(
             F.count(F.lit(1)).alias("cnt"), F.sum((F.col("y") > 0).cast("long")).alias("pos"), F.sum(F.col("y").isNull().cast("long")).alias("bad"),
             F.sum("w").alias("sum_w"), F.sum(F.col("y") * F.col("w")).alias("sum_wy"), F.sum(F.col("p") * F.col("w")).alias("sum_wp"),
-        ).persist()
-        self.kept.append(out)
+        )
+        if self.keep:
+            self.kept.append(out.persist())
         return out
 
     @cached_property
@@ -76,6 +86,7 @@ class Histogram:
         row = self.values.agg(
             F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum(F.when(present, F.col("cnt"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(present, F.col("pos"))), F.lit(0)).alias("pos"),
             F.count("value").alias("distinct"), F.min("value").alias("low"), F.max("value").alias("high"),
+            F.sum("sum_wy").alias("t"), F.sum("sum_w").alias("w"), F.sum("sum_wp").alias("p"),
         ).first()
         if row["bad"]:
             raise ValueError(f"the target {self.target!r} has missing values")
@@ -127,6 +138,20 @@ class Histogram:
         self.kept.clear()
 
 
+def histograms(df: DataFrame, names: list[str], target: str) -> tuple[dict[str, Histogram], DataFrame]:
+    """Histograms of numeric variables as doubles, all from one scan and one shuffle by (variable, value), and the
+    table they share, persisted: unpersist it when done."""
+    for n in names:
+        require_column(df, n, target)
+    pairs = F.array(*(F.struct(F.lit(i).alias("k"), clean(named(n).cast("double"), True).alias("value")) for i, n in enumerate(names)))
+    rows = df.select(clean(named(target).cast("double"), True).alias("y"), F.explode(pairs).alias("v")).select("v.k", "v.value", "y")
+    table = rows.groupBy("k", "value").agg(
+        F.count(F.lit(1)).alias("cnt"), F.sum((F.col("y") > 0).cast("long")).alias("pos"), F.sum(F.col("y").isNull().cast("long")).alias("bad"),
+        F.count(F.lit(1)).cast("double").alias("sum_w"), F.sum("y").alias("sum_wy"), F.lit(None).cast("double").alias("sum_wp"),
+    ).persist()
+    return {n: Histogram(df, n, target, as_double=True, shared=table.where(F.col("k") == i).drop("k")) for i, n in enumerate(names)}, table
+
+
 def gini(df: DataFrame, variable: str, target: str) -> float | None:
     """2 AUC - 1, signed and unweighted, ties counting half; None with one class.  Missing values are left out."""
     h = Histogram(df, variable, target, as_double=True)

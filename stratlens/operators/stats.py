@@ -36,23 +36,22 @@ def _finish(rows: DataFrame, sort_by, ascending, default, min_info, pred, with_k
 
 def discrete_stats(df: DataFrame, variable: str, target: str, pred: str | None = None, total: bool = True, min_info: bool = False, sort_by: str | None = None, ascending: bool = True, weights: str | None = None, with_kind: bool = False, histogram: Histogram | None = None) -> DataFrame:
     """One row for each value of the variable: weighted target, weight, rate and share."""
-    own = histogram or Histogram(df, variable, target, pred, weights)
-    own.totals  # raises for missing targets
+    own = histogram or Histogram(df, variable, target, pred, weights, keep=False)
+    whole = own.totals  # raises for missing targets
     kind = df.schema[variable].dataType
     number = isinstance(kind, (T.NumericType, T.BooleanType))
     base = own.values.select("value", F.coalesce("sum_wy", F.lit(0.0)).alias("sum_target"), F.coalesce("sum_w", F.lit(0.0)).alias("n_obs"), F.coalesce("sum_wp", F.lit(0.0)).alias("sum_pred"))
-    whole = base.agg(F.sum("sum_target").alias("t"), F.sum("n_obs").alias("n"), F.sum("sum_pred").alias("p")).first()
     label = F.coalesce(value_label(F.col("value"), kind.simpleString()), F.lit(NA))
     typed = F.col("value").cast("double") if number else label
     rows = base.select(F.when(F.col("value").isNull(), "NA").otherwise("VALUE").alias("row_kind"), label.alias("bin"), typed.alias("discrete"), "sum_target", "n_obs", "sum_pred")
     if total:
         last = df.sparkSession.range(1).select(
             F.lit("TOTAL").alias("row_kind"), F.lit(TOTAL).alias("bin"), (F.lit(None).cast("double") if number else F.lit(TOTAL)).alias("discrete"),
-            F.lit(whole["t"] or 0.0).alias("sum_target"), F.lit(whole["n"] or 0.0).alias("n_obs"), F.lit(whole["p"] or 0.0).alias("sum_pred"),
+            F.lit(whole["t"] or 0.0).alias("sum_target"), F.lit(whole["w"] or 0.0).alias("n_obs"), F.lit(whole["p"] or 0.0).alias("sum_pred"),
         )
         rows = rows.unionByName(last)
     rows = rows.withColumns(
-        {"avg_target": F.try_divide("sum_target", "n_obs"), "avg_pred": F.try_divide("sum_pred", "n_obs"), "pct_obs": F.try_divide(F.col("n_obs"), F.lit(whole["n"] or 0.0)), "_tie": F.col("bin")}
+        {"avg_target": F.try_divide("sum_target", "n_obs"), "avg_pred": F.try_divide("sum_pred", "n_obs"), "pct_obs": F.try_divide(F.col("n_obs"), F.lit(whole["w"] or 0.0)), "_tie": F.col("bin")}
         | {c: F.lit(None).cast("double") for c in ("od", "srodek", "do", "mean", "median")}
     )
     return _finish(rows, sort_by, ascending, [F.asc("bin")], min_info, pred, with_kind)

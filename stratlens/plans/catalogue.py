@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import batch, scoring, stats, tree
 from ..operators.histogram import Histogram, gini
-from ..sources.tables import ColumnTypes, read
+from ..sources.tables import ColumnTypes, distinct_counts, read
 
 TARGETS = {"lineitem": "l_returnflag = 'R'", "orders": "o_orderstatus = 'F'", "events": "event_type = 'purchase'"}
 NUMBERS = ["sum_target", "n_obs", "avg_target", "pct_obs"]
@@ -139,8 +139,8 @@ def q14_gini(spark, d):
 
 def _scored(spark, d) -> DataFrame:
     df = table(spark, d, "lineitem", "l_extendedprice")
-    buckets = stats.interval_stats(df, "l_extendedprice", "y", bins=10)
-    return scoring.assign(df, "l_extendedprice", buckets, "avg_target")
+    bins = stats.interval_stats(df, "l_extendedprice", "y", bins=10)
+    return scoring.assign(df, "l_extendedprice", bins, "avg_target")
 
 
 def q15_gini_binned(spark, d):
@@ -154,8 +154,8 @@ def q16_score_intervals(spark, d):
 
 def q17_score_levels(spark, d):
     df = table(spark, d, "lineitem", "l_linenumber")
-    buckets = stats.discrete_stats(df.where("l_linenumber < 5"), "l_linenumber", "y")
-    out = scoring.assign(df, "l_linenumber", buckets, "avg_target")
+    bins = stats.discrete_stats(df.where("l_linenumber < 5"), "l_linenumber", "y")
+    out = scoring.assign(df, "l_linenumber", bins, "avg_target")
     return out.groupBy("l_linenumber").agg(F.round(F.max("score"), 6).alias("score"), F.count(F.lit(1)).alias("n"))
 
 
@@ -218,6 +218,31 @@ def q27_leaves(spark, d):
     return out.select("lower_bound", "upper_bound", "samples", F.col("class_stats")["1"].alias("positives"))
 
 
+def q28_labels(spark, d):
+    out = stats.interval_stats(table(spark, d, "lineitem", "l_quantity"), "l_quantity", "y", bins=8)
+    return out.select("nr", "bin", F.round("n_obs", 6).alias("n_obs"))
+
+
+def q29_level_scores(spark, d):
+    """Scores of a variable of many levels, joined by their values."""
+    df = table(spark, d, "lineitem", "l_partkey")
+    bins = stats.discrete_stats(df.where("l_partkey % 3 > 0"), "l_partkey", "y", with_kind=True)
+    out = scoring.assign(df, "l_partkey", bins, "avg_target")
+    return out.groupBy(F.round("score", 6).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_partkey").alias("levels"))
+
+
+def q30_leaf_paths(spark, d):
+    root = tree.make_tree(table(spark, d, "orders", "o_totalprice"), "o_totalprice", "y", max_depth=1, min_samples_leaf=100)
+    out = tree.leaf_info(spark, root, "o_totalprice")
+    return out.select(F.array_join("intervals", " and ").alias("path"), "samples", F.round(F.col("class_probs")["1"], 6).alias("rate"))
+
+
+def q31_distinct(spark, d):
+    names = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+    counts = distinct_counts(read(spark, f"{d}/lineitem.parquet", names), names)
+    return spark.createDataFrame(list(counts.items()), "column_name string, n long")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("q") and k[1].isdigit()}
 
@@ -228,6 +253,40 @@ k AS (SELECT *, 2 * cp * (cn - cp) / cn + 2 * (p - cp) * ((n - cn) - (p - cp)) /
 best AS (SELECT (v + nx) / 2 AS threshold, cn, n, cp, p FROM k WHERE cost < 2 * p * (n - p) / n - 1e-12 * n ORDER BY cost, v LIMIT 1)"""
 
 
+def _tree_sql(p: str, source: str, depth: int, least: int) -> str:
+    """CTEs of a tree's growth over the values and positives of ``source``; the thresholds are in {p}t."""
+    out = [f"{p}h0 AS (SELECT v, '' AS node, count(*) AS n, sum(y) AS p FROM ({source}) WHERE v IS NOT NULL GROUP BY v)"]
+    for k in range(depth):
+        out.append(
+            f"""{p}c{k} AS (SELECT node, v, lead(v) OVER w AS nx, CAST(sum(n) OVER w AS DOUBLE) AS cn, CAST(sum(p) OVER w AS DOUBLE) AS cp, CAST(sum(n) OVER (PARTITION BY node) AS DOUBLE) AS n, CAST(sum(p) OVER (PARTITION BY node) AS DOUBLE) AS p FROM {p}h{k} WINDOW w AS (PARTITION BY node ORDER BY v)),
+{p}k{k} AS (SELECT *, 2 * cp * (cn - cp) / cn + 2 * (p - cp) * ((n - cn) - (p - cp)) / (n - cn) AS cost FROM {p}c{k} WHERE nx IS NOT NULL AND cn >= {least} AND n - cn >= {least} AND p > 0 AND p < n),
+{p}b{k} AS (SELECT node, (v + nx) / 2 AS cut FROM {p}k{k} WHERE cost < 2 * p * (n - p) / n - 1e-12 * n QUALIFY row_number() OVER (PARTITION BY node ORDER BY cost, v) = 1),
+{p}h{k + 1} AS (SELECT v, CASE WHEN cut IS NULL THEN h.node WHEN v <= cut THEN h.node || 'L' ELSE h.node || 'R' END AS node, n, p FROM {p}h{k} h LEFT JOIN {p}b{k} b ON h.node = b.node)"""
+        )
+    return ",\n".join(out) + f",\n{p}t AS (" + " UNION ".join(f"SELECT cut FROM {p}b{k}" for k in range(depth)) + ")"
+
+
+def _gini_sql(p: str, scores: str) -> str:
+    """A CTE {p}g of the Gini of a score: ``scores`` gives v, n and p of each value."""
+    return f"""{p}o AS (SELECT n, p, coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT v, sum(n) AS n, sum(p) AS p FROM ({scores}) GROUP BY v)),
+{p}g AS (SELECT 2 * (r - p * (p + 1) / 2) / (p * (n - p)) - 1 AS gini FROM (SELECT CAST(sum(n) AS DOUBLE) AS n, CAST(sum(p) AS DOUBLE) AS p, CAST(sum(p * (b + (n + 1) / 2.0)) AS DOUBLE) AS r FROM {p}o))"""
+
+
+def _ranking_sql() -> str:
+    parts, rows = [], []
+    for i, c in enumerate(("l_linenumber", "l_discount", "l_tax", "l_linestatus")):
+        source = _source("lineitem", f"{c} AS v")
+        parts.append(_gini_sql(f"d{i}", f"SELECT rate AS v, n, p FROM (SELECT sum(y) / CAST(count(*) AS DOUBLE) AS rate, count(*) AS n, sum(y) AS p FROM ({source}) GROUP BY v)"))
+        rows.append(f"SELECT '{c}' AS variable, gini, gini AS gini_binned FROM d{i}g")
+    for i, c in enumerate(("l_quantity", "l_extendedprice")):
+        source = _source("lineitem", f"{c} AS v")
+        parts.append(_tree_sql(f"t{i}", source, 3, 100))
+        parts.append(_gini_sql(f"r{i}", f"SELECT v, count(*) AS n, sum(y) AS p FROM ({source}) GROUP BY v"))
+        parts.append(_gini_sql(f"n{i}", f"SELECT sum(p) / CAST(sum(n) AS DOUBLE) AS v, sum(n) AS n, sum(p) AS p FROM t{i}h3 GROUP BY node"))
+        rows.append(f"SELECT '{c}', r{i}g.gini, n{i}g.gini FROM r{i}g, n{i}g")
+    return "WITH " + ",\n".join(parts) + f" SELECT CAST(row_number() OVER (ORDER BY gini_binned DESC, variable) AS INT) AS place, variable, round(gini, 6) AS gini, round(gini_binned, 6) AS gini_binned FROM ({' UNION ALL '.join(rows)})"
+
+
 def oracle_sql() -> dict[str, str]:
     line = _source("lineitem", "l_linestatus, l_linenumber, l_quantity, l_discount * 10 AS p, l_extendedprice, l_tax")
     manual = "e AS (SELECT unnest([" + ", ".join(map(str, EDGES)) + "]) AS edge)"
@@ -261,6 +320,14 @@ def oracle_sql() -> dict[str, str]:
         + ", ('l_returnflag', 'categorical', 'explanatory'), ('l_linestatus', 'categorical', 'explanatory'), ('l_shipdate', 'categorical', 'skipped')) t(column_name, analytical_type, role)",
         "q19_split": f"WITH {SPLIT} SELECT threshold, CAST(cn AS BIGINT) AS n_left, CAST(n - cn AS BIGINT) AS n_right FROM best",
         "q20_tree": _intervals_sql(price, SPLIT + ", e AS (SELECT threshold AS edge FROM best UNION SELECT min(v) - 1 FROM s UNION SELECT max(v) + 1 FROM s)"),
+        "q20b_tree_deep": _intervals_sql(price, _tree_sql("x", price, 3, 100) + ", e AS (SELECT cut AS edge FROM xt UNION SELECT min(v) - 1 FROM s UNION SELECT max(v) + 1 FROM s)"),
+        "q22_ranking": _ranking_sql(),
+        "q28_labels": f"""WITH s AS ({_source("lineitem", "l_quantity AS v")}), {_ranks_sql(8)}, i AS (SELECT edge AS lo, lead(edge) OVER (ORDER BY edge) AS hi, row_number() OVER (ORDER BY edge) AS j FROM e),
+b AS (SELECT '(' || CAST(CASE WHEN j = 1 THEN round(lo - 0.001, 3) ELSE lo END AS VARCHAR) || ', ' || CAST(hi AS VARCHAR) || ']' AS bin, lo FROM s JOIN i ON i.hi IS NOT NULL AND (v > lo OR (j = 1 AND v = lo)) AND v <= hi),
+g AS (SELECT bin, lo, CAST(count(*) AS DOUBLE) AS n_obs FROM b GROUP BY 1, 2 UNION ALL SELECT 'TOTAL', 1e9, count(*) FROM s) SELECT CAST(row_number() OVER (ORDER BY lo) AS INT) AS nr, bin, n_obs FROM g""",
+        "q29_level_scores": f"WITH s AS ({_source('lineitem', 'l_partkey')}), g AS (SELECT l_partkey, CASE WHEN l_partkey % 3 > 0 THEN round(sum(y) / CAST(count(*) AS DOUBLE), 6) END AS score, count(*) AS n FROM s GROUP BY 1) SELECT score, CAST(sum(n) AS BIGINT) AS n, count(*) AS levels FROM g GROUP BY 1",
+        "q30_leaf_paths": f"WITH {SPLIT} SELECT printf('o_totalprice <= %.2f', threshold) AS path, CAST(cn AS BIGINT) AS samples, round(cp / cn, 6) AS rate FROM best UNION ALL SELECT printf('o_totalprice > %.2f', threshold), CAST(n - cn AS BIGINT), round((p - cp) / (n - cn), 6) FROM best",
+        "q31_distinct": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n FROM lineitem" for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")),
         "q21_batch": f"WITH s AS ({_source('lineitem', 'l_linenumber, l_discount, l_tax, l_linestatus')}) {levels}",
         "q23_join": _intervals_sql("SELECT n_chars AS v, quality AS y FROM documents JOIN labels USING (doc_id)", _ranks_sql(10)),
         "q24_chart": f"WITH s AS ({line}), g AS (SELECT {number} AS x, round(sum(y) / CAST(count(*) AS DOUBLE), 6) AS avg_target, count(*) AS n FROM s GROUP BY 1) SELECT x, avg_target, round(n * 25 / (SELECT avg(n) FROM g), 6) AS size FROM g",

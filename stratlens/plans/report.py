@@ -36,6 +36,58 @@ def scatter(points: list[dict], title: str = "", width: int = 560, height: int =
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" role="img">{axis}{text}{ends}{"".join(marks)}</svg>'
 
 
+def two_series(table, title: str = "", width: int = 640, height: int = 320) -> str:
+    """An SVG of a table of statistics: bars of each bin's share, and a line of its rate on an axis of its own."""
+    from ..operators.scoring import without_total
+
+    rows = without_total(table).orderBy("nr").select("bin", "pct_obs", "avg_target").collect()
+    if not rows:
+        return f'<svg width="{width}" height="{height}" role="img"><text x="20" y="30">{html.escape(title)}</text></svg>'
+    share, rate = max((r["pct_obs"] or 0.0) for r in rows) or 1.0, max((r["avg_target"] or 0.0) for r in rows) or 1.0
+    step, low, high = (width - 110) / len(rows), height - 40, height - 70
+    bars, line = [], []
+    for i, r in enumerate(rows):
+        x, h = 55 + i * step, high * (r["pct_obs"] or 0.0) / share
+        bars.append(f'<rect x="{x + step * 0.15:.1f}" y="{low - h:.1f}" width="{step * 0.7:.1f}" height="{h:.1f}" fill="#b9c7d8"><title>{html.escape(str(r["bin"]))}: {r["pct_obs"] or 0:.4f}</title></rect>')
+        if r["avg_target"] is not None:
+            line.append((x + step / 2, low - high * r["avg_target"] / rate, r))
+    path = f'<polyline fill="none" stroke="#b0402a" stroke-width="1.5" points="{" ".join(f"{x:.1f},{y:.1f}" for x, y, _ in line)}"/>'
+    dots = "".join(f'<circle cx="{x:.1f}" cy="{y:.1f}" r="3" fill="#b0402a"><title>{html.escape(str(r["bin"]))}: {r["avg_target"]:.4f}</title></circle>' for x, y, r in line)
+    text = f'<text x="{width / 2:.0f}" y="16" text-anchor="middle">{html.escape(title)}</text><text x="50" y="34" text-anchor="end" font-size="10">{share:.3f}</text><text x="{width - 50}" y="34" font-size="10" fill="#b0402a">{rate:.3f}</text>'
+    axis = f'<line x1="55" y1="{low}" x2="{width - 55}" y2="{low}" stroke="#888"/>'
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" role="img">{text}{axis}{"".join(bars)}{path}{dots}</svg>'
+
+
+def tree_svg(tree, feature: str, width: int = 900) -> str:
+    """An SVG of a tree: each node with its rows and rate, and the threshold it splits at."""
+    spots, edges, depth = [], [], [0]
+
+    def walk(node, left: float, right: float, level: int) -> tuple[float, float]:
+        x, y = (left + right) / 2, 30 + 80 * level
+        depth[0] = max(depth[0], level)
+        rate = node.pos / node.n if node.n else 0.0
+        label = f"{feature} &lt;= {node.threshold:.4g}" if node.left else "leaf"
+        spots.append(f'<g><rect x="{x - 52:.1f}" y="{y - 16:.1f}" width="104" height="40" fill="#f2f4f7" stroke="#889"/><text x="{x:.1f}" y="{y:.1f}" text-anchor="middle" font-size="10">{label}</text><text x="{x:.1f}" y="{y + 14:.1f}" text-anchor="middle" font-size="10">n = {node.n}, {rate:.4f}</text></g>')
+        for child, a, b in ((node.left, left, x), (node.right, x, right)):
+            if child:
+                cx, cy = walk(child, a, b, level + 1)
+                edges.append(f'<line x1="{x:.1f}" y1="{y + 24:.1f}" x2="{cx:.1f}" y2="{cy - 16:.1f}" stroke="#889"/>')
+        return x, y
+
+    feature = html.escape(feature)
+    walk(tree, 0, width, 0)
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{80 + 80 * depth[0]}" role="img">{"".join(edges)}{"".join(spots)}</svg>'
+
+
+def markdown(table) -> str:
+    """A (small) table as Markdown."""
+    def cell(v):
+        return "" if v is None else (f"{v:.6g}" if isinstance(v, float) else str(v)).replace("|", "\\|")
+
+    rows = [table.columns, ["---"] * len(table.columns), *([cell(v) for v in r] for r in table.collect())]
+    return "\n".join("| " + " | ".join(r) + " |" for r in rows)
+
+
 def _cell(v) -> str:
     if v is None:
         return ""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.binning import clean
+from ..functions.binning import clean, named
 from ..operators.histogram import NUMERIC
 
 
@@ -19,8 +19,8 @@ def read(spark: SparkSession, path: str, columns: list[str] | None = None, casts
         df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     else:
         df = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
-    df = df.select(*columns) if columns else df
-    return df.withColumns({c: F.col(c).cast(t) for c, t in (casts or {}).items()}) if casts else df
+    df = df.select(*map(named, columns)) if columns else df
+    return df.withColumns({c: named(c).cast(t) for c, t in (casts or {}).items()}) if casts else df
 
 
 def save_table(df: DataFrame, path: str) -> None:
@@ -30,22 +30,23 @@ def save_table(df: DataFrame, path: str) -> None:
 def distinct_counts(df: DataFrame, names: list[str]) -> dict[str, int]:
     """Exact distinct counts without missing values.
 
-    Columns that an approximate count puts far over every threshold of use keep that count; the rest,
-    few-valued by it, are counted exactly.  Both passes aggregate before they shuffle.
+    An approximate count tells which columns have few values; those are counted as small sets in one
+    aggregation, the others by a shuffle of their distinct values.
     """
     if not names:
         return {}
 
     def x(c):
-        return clean(F.col(f"`{c}`"), isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)))
+        return clean(named(c), isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)))
 
     rough = df.agg(*(F.approx_count_distinct(x(c), 0.05).alias(f"c{i}") for i, c in enumerate(names))).first()
     few = [c for i, c in enumerate(names) if rough[f"c{i}"] <= 1000]
-    out = {c: int(rough[f"c{i}"]) for i, c in enumerate(names)}
-    if few:
-        sets = df.agg(*(F.size(F.collect_set(x(c))).alias(f"c{i}") for i, c in enumerate(few))).first()
-        out |= {c: int(sets[f"c{i}"]) for i, c in enumerate(few)}
-    return out
+    many, out = [c for c in names if c not in few], {}
+    for group, count in ((few, lambda v: F.size(F.collect_set(v))), (many, F.count_distinct)):
+        if group:
+            row = df.agg(*(count(x(c)).alias(f"c{i}") for i, c in enumerate(group))).first()
+            out |= {c: int(row[f"c{i}"]) for i, c in enumerate(group)}
+    return {c: out[c] for c in names}
 
 
 def guess_type(df: DataFrame, name: str, discrete_threshold: int = 20, distinct: int | None = None) -> str:

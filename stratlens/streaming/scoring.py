@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..operators.scoring import assign
 
 
-def score_stream(stream: DataFrame, variable: str, buckets: DataFrame | list, val: str = "avg_target", output: str = "score") -> DataFrame:
-    """``assign`` on a streaming DataFrame; the bucket table is read once, when the query is built."""
-    return assign(stream, variable, buckets, val, output)
+def score_stream(stream: DataFrame, variable: str, bins: DataFrame | list, val: str = "avg_target", output: str = "score") -> DataFrame:
+    """``assign`` on a streaming DataFrame; the intervals are read when the query is built, levels are a static side of its join."""
+    return assign(stream, variable, bins, val, output)
 
 
 def windowed_rates(stream: DataFrame, time: str, bin_column: str, target: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

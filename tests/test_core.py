@@ -134,3 +134,50 @@ def test_oracle_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "q01_discrete" in e.queries()
+
+
+def test_levels_named_like_special_rows(spark):
+    """A level called TOTAL, <NA> or <OUT> is a level where the table has row_kind."""
+    df = spark.createDataFrame([(x, y) for x, y in zip(["TOTAL", "TOTAL", "<NA>", "a", None, "<OUT>"], [1, 0, 1, 0, 1, 1])], "`x.y` string, y int")
+    table = stats.discrete_stats(df, "x.y", "y", with_kind=True)
+    got = {r["x.y"]: r["score"] for r in scoring.assign(df, "x.y", table, "avg_target").collect()}
+    assert got == {"TOTAL": 0.5, "<NA>": 1.0, "a": 0.0, None: 1.0, "<OUT>": 1.0}
+    assert sorted(r["x"] for r in batch.chart_data(table).collect()) == ["<NA>", "<NA>", "<OUT>", "TOTAL", "a"]
+    plain = stats.discrete_stats(df, "x.y", "y")
+    assert {r["x.y"]: r["score"] for r in scoring.assign(df, "x.y", plain, "avg_target").collect()}["TOTAL"] == 0.5
+    with pytest.raises(Exception, match="no bin of"):
+        scoring.assign(df, "x.y", table.where("bin <> 'a'"), "avg_target", on_unseen="error").collect()
+
+
+def test_counts_and_labels(spark):
+    df = spark.range(3000).selectExpr("id", "id % 1500 as many", "cast(0.1 as float) as f", "cast(id % 2 as boolean) as b", "cast(if(id % 3 = 0, 'inf', '1') as double) as i", "cast(id % 2 as int) as y", "if(id % 5 = 0, null, id % 19) as nineteen", "id % 20 as twenty", "id % 21 as level")
+    types = ColumnTypes(df).types
+    assert (types["many"].distinct, types["id"].distinct, types["nineteen"].distinct) == (1500, 3000, 19)
+    assert types["nineteen"].analytical_type == "discrete" and types["twenty"].analytical_type == "continuous"
+    assert rows(stats.discrete_stats(df, "f", "y"), "bin")[0] == ("0.1",)
+    assert [r[0] for r in rows(stats.discrete_stats(df, "b", "y"), "bin")] == ["False", "True", "TOTAL"]
+    assert rows(stats.discrete_stats(df, "i", "y"), "n_obs") == [(2000,), (1000,), (3000,)]
+    as_text = df.selectExpr("cast(level as string) as v21", "cast(twenty as string) as v20", "y")
+    assert batch.is_warning(batch.calc(as_text, "v21", "y")) and not batch.is_warning(batch.calc(as_text, "v20", "y"))
+
+
+def test_one_class_and_weights(spark):
+    df = spark.createDataFrame([(1.0, 0, 0.0), (2.0, 0, 0.0), (3.0, 0, None)], "x double, y int, w double")
+    assert gini(df, "x", "y") is None and tree.make_tree(df, "x", "y", 2, 1).left is None
+    out = rows(stats.discrete_stats(df, "x", "y", weights="w"), "n_obs", "avg_target", "pct_obs")
+    assert out[-1] == (0.0, None, None) and len(out) == 4
+
+
+def test_shared_scan_and_charts(spark, f2):
+    df = f2.selectExpr("y as target", "cast(x as double) + 0.5 as a", "cast(x * 2 as double) as `b.c`", "x as d")
+    types = ColumnTypes(df, discrete_threshold=3)
+    tables = batch.gen_tables(df, types)
+    for name in ("a", "b.c", "d"):
+        assert rows(tables[name], *NUM) == rows(stats.interval_stats(df, name, "target"), *NUM)
+    table, svg = batch.calc(df, "a", "target", discrete_threshold=3, plot=True)
+    assert svg.count("<rect") == table.count() - 1 and "polyline" in svg
+    root = tree.make_tree(df, "a", "target", 2, 1)
+    assert report.tree_svg(root, "a<b").count("<rect") == 2 * len(root.leaves()) - 1 and "a&lt;b" in report.tree_svg(root, "a<b")
+    assert report.markdown(table).splitlines()[0].startswith("| nr | bin |")
+    two = report.variable_sections(batch.gen_report_objects(df, types, min_samples_leaf=2))
+    assert two[2].index("a (") < two[2].index("b.c (") < two[2].index("d (")
