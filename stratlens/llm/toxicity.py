@@ -34,6 +34,7 @@ from .common import ascii_lower, flat_utf8, fresh, frugal, small_batches
 from .language import fold
 
 WINDOW, STRIDE, LEVEL = 64, 32, 6
+CALIBRATE = 500
 SAMPLE = 32  # bytes of a window that the toxic dictionary is trained on
 STEPS = (1, 2, 3, 4, 5, 6, 8)
 
@@ -144,9 +145,13 @@ def dictionaries(toxic: list[bytes], plain: list[bytes], size: int = 98304, spec
 
 
 def train(texts: list[bytes], label: np.ndarray, penalty: float = 1e-3, toxic_share: float | None = None) -> Model:
-    """Dictionaries from three of four rows, calibration on the rest; ``toxic_share`` is that of the rows sampled from (None: as given)."""
+    """Dictionaries from some rows, calibration on the others: of each class a fourth, or ``CALIBRATE`` rows if that is more,
+    but no more than half.  ``toxic_share`` is that of the rows sampled from (None: as given)."""
     texts = [_folded(np.frombuffer(t, np.uint8)).tobytes() for t in texts]
-    build = np.arange(len(texts)) % 4 != 0
+    build = np.ones(len(texts), bool)
+    for own in (np.flatnonzero(label), np.flatnonzero(~label)):
+        some = max(len(own) // 4, min(len(own) // 2, CALIBRATE))
+        build[own[np.arange(some) * len(own) // max(1, some)]] = False
     ordinary, special = dictionaries([t for t, y, k in zip(texts, label, build) if y and k], [t for t, y, k in zip(texts, label, build) if not y and k])
     gains = Gains(ordinary, special)
     x = np.array([gains.features(t) for t, k in zip(texts, build) if not k])
@@ -191,8 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes: in
     label = np.array(got.column("toxic").to_pylist(), bool)[order] if order else np.zeros(0, bool)
     if min(label.sum(), (~label).sum()) < 8 if len(label) else True:
         return sizes[True] / (sizes[True] + sizes[False])
-    by_class = np.argsort(label, kind="stable")  # of each class, every fourth row calibrates
-    return train([texts[i] for i in by_class], label[by_class], toxic_share=sizes[True] / (sizes[True] + sizes[False]))
+    return train(texts, label, toxic_share=sizes[True] / (sizes[True] + sizes[False]))
 
 
 def score(df: DataFrame, model: Model | float, text: str = "text", keep_text: bool = True) -> DataFrame:
