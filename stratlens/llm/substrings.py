@@ -7,8 +7,10 @@ same document and an earlier start).  Strings are judged on the input, not on wh
    Equal windows have equal anchors at equal places, so windows that may be equal meet under the
    anchor's hash.  Windows in a row with the same anchor form a run; its bytes are the run's context.
 2. Runs with equal anchor and context are equal windows throughout: all but the first go.
-3. What is left are anchors with several contexts.  One context of each is sent to the anchor's
-   shard, where a suffix array (induced sorting) and permuted common prefixes find equal windows.
+3. What is left are anchors with several contexts.  Most share little more than the anchor: hashes of
+   the bytes to its left and right, a third and two thirds of the way, bound which windows another
+   context can have.  Those windows of one context of each are sent to the anchor's shard, where a
+   suffix array (induced sorting) and permuted common prefixes find the equal ones.
    An anchor with more than ``BLOCK`` contexts is split into blocks; windows that stay first in
    their block meet once more by their hash.
 4. The ranges found are merged per document and cut from its bytes.
@@ -35,7 +37,7 @@ GRAM = 24
 PIECE = 1 << 19
 BLOCK = 1000
 SHARD_RUNS = 1 << 20
-RUN = np.dtype([("fp", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "<u2")])
+RUN = np.dtype([("fp", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "<u2"), ("lead", "<u2"), ("left", "<u2", 2), ("right", "<u2", 2)])
 SHARD_BYTES = 3 << 18
 
 
@@ -48,8 +50,14 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+def _reach(length: int) -> tuple[int, int]:
+    """How many bytes beside an anchor's are hashed, on either side."""
+    return (length - GRAM) // 3, 2 * (length - GRAM) // 3
+
+
 def _runs_of(data: np.ndarray, base: np.ndarray, stop: np.ndarray, length: int):
-    """Runs of windows in pieces [base, stop) of one buffer: first window, windows, anchor hash, context hash."""
+    """Runs of windows in pieces [base, stop) of one buffer: first window, windows, anchor hash, context hash, bytes
+    before the anchor, and hashes of the anchor with those to its left and right (0 where the context has fewer)."""
     roll = RollingHash(data)
     gram = roll.windows(GRAM)
     key = (gram & ~U64(0xFFFFFF)) | np.arange(len(gram), dtype=np.uint64)  # a piece is shorter than 2**24
@@ -58,16 +66,23 @@ def _runs_of(data: np.ndarray, base: np.ndarray, stop: np.ndarray, length: int):
     count = np.maximum(stop - base - length + 1, 0)
     at = ranges(base, count)
     if not len(at):
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) + (np.zeros((0, 2), np.uint16),) * 2
     a = anchor[at]
     new = np.ones(len(at), bool)
     new[1:] = (a[1:] != a[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     windows = np.diff(np.append(first, len(at)))
     begin = at[first]
-    fp = gram[a[first]]
-    ctx = mix64(roll.of(begin, begin + windows + length - 1) + (a[first] - begin).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
-    return begin, windows, fp, ctx
+    a = a[first]
+    fp, lead, end = gram[a], a - begin, begin + windows + length - 1
+    ctx = mix64(roll.of(begin, end) + lead.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+    left, right = np.zeros((len(a), 2), np.uint16), np.zeros((len(a), 2), np.uint16)
+    for k, more in enumerate(_reach(length)):
+        there = lead >= more
+        left[there, k] = np.maximum(roll.of(a[there] - more, a[there] + GRAM) >> U64(48), U64(1))
+        there = end - a >= GRAM + more
+        right[there, k] = np.maximum(roll.of(a[there], a[there] + GRAM + more) >> U64(48), U64(1))
+    return begin, windows, fp, ctx, lead, left, right
 
 
 def _collapse(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,12 +155,13 @@ def _scan(length: int, shards: int):
                     cuts = np.arange(0, max(1, len(buf) - length + 1), PIECE)
                     jobs = [(buf[c : c + PIECE + length - 1], np.zeros(1, np.int64), np.array([min(len(buf) - c, PIECE + length - 1)]), doc, np.array([c])) for c in cuts]
                 for part, b, s, d, shift in jobs:
-                    begin, windows, fp, ctx = _runs_of(part, b, s, length)
+                    begin, windows, fp, ctx, lead, left, right = _runs_of(part, b, s, length)
                     which = np.searchsorted(b, begin, side="right") - 1
                     # empty texts share a base with their successor; the last of equal bases is the one that has bytes
                     out = np.empty(len(begin), RUN)
                     out["fp"], out["ctx"], out["doc"] = fp, ctx, ids[d[which]]
                     out["start"], out["n"] = begin - b[which] + shift[which], windows
+                    out["lead"], out["left"], out["right"] = lead, left, right
                     held.append(out)
                     size += len(out)
                     if size >= SHARD_RUNS // 2:
@@ -157,8 +173,35 @@ def _scan(length: int, shards: int):
     return run
 
 
+def _sharing(group: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Whether another row of the group has the same mark, which is not 0."""
+    order = np.lexsort((mark, group))
+    same = (mark[order][1:] == mark[order][:-1]) & (group[order][1:] == group[order][:-1])
+    out = np.zeros(len(mark), bool)
+    out[order] = np.append(same, False) | np.append(False, same)
+    return out & (mark > 0)
+
+
+def _common(runs: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first window of each context, from its start, that another context of its group may have, and how many from there.
+
+    A window that starts ``o`` bytes before the anchor has those and length - GRAM - o after it.  Where nobody shares
+    ``more`` bytes on a side, equal windows have less than that there.
+    """
+    most, (near, far) = length - GRAM, _reach(length)
+    side = []
+    for marks in (runs["left"], runs["right"]):
+        low_mark, high_mark = marks.T.astype(np.uint32)
+        some, much = _sharing(group, low_mark), _sharing(group, np.where(high_mark > 0, high_mark << 16 | low_mark, 0))
+        side.append(np.where(much, most, np.where(some, far - 1, near - 1)))
+    lead = runs["lead"].astype(np.int64)
+    low = np.maximum(lead - side[0], 0)
+    high = np.minimum(lead - most + side[1], runs["n"].astype(np.int64) - 1)
+    return low, np.maximum(high - low + 1, 0)
+
+
 def _resolve(length: int):
-    """Copies of a context go at once; an anchor with several contexts asks for their bytes."""
+    """Copies of a context go at once; an anchor with several contexts asks for the bytes they may have in common."""
 
     def settle(held, hot, last):
         runs, again = _collapse(np.concatenate(held))
@@ -166,9 +209,16 @@ def _resolve(length: int):
         new = np.ones(len(runs), bool)
         new[1:] = runs["fp"][1:] != runs["fp"][:-1]
         group = np.cumsum(new) - 1
-        many = np.bincount(group, minlength=1)[group] if len(runs) else np.zeros(0, int)
-        nth = np.arange(len(runs)) - np.flatnonzero(new)[group] if len(runs) else many
         seen = np.isin(runs["fp"], np.fromiter(hot, np.uint64, len(hot))) if hot else np.zeros(len(runs), bool)
+        low, count = np.zeros(len(runs), np.int64), runs["n"].astype(np.int64)
+        if last:  # contexts of an anchor that left early are not all here
+            several = np.flatnonzero(~seen & (np.bincount(group, minlength=1)[group] > 1))
+            low[several], count[several] = _common(runs[several], group[several], length)
+            stay = count > 0
+            runs, group, seen, low, count = runs[stay], group[stay], seen[stay], low[stay], count[stay]
+        first = np.append(True, group[1:] != group[:-1])[: len(runs)]
+        many = np.bincount(group)[group] if len(runs) else np.zeros(0, int)
+        nth = np.arange(len(runs)) - np.flatnonzero(first)[np.cumsum(first) - 1] if len(runs) else many
         blazing = seen | (many > BLOCK)
         if not last:
             for f in np.unique(runs["fp"][blazing]).tolist():
@@ -186,7 +236,8 @@ def _resolve(length: int):
         ask = blazing | ((many > 1) if last else np.zeros(len(runs), bool))
         block = np.where(blazing, 1 + start + nth // BLOCK, 0)
         chosen = runs[ask]
-        out.append(_found(chosen["doc"], chosen["start"], chosen["start"].astype(np.int64) + chosen["n"] + length - 1, chosen["fp"].copy(), block[ask]))
+        begin = chosen["start"] + low[ask]
+        out.append(_found(chosen["doc"], begin, begin + count[ask] + length - 1, chosen["fp"].copy(), block[ask]))
         return out, [] if last else [runs[~ask]]
 
     def run(batches):
@@ -299,16 +350,20 @@ def _sort_shards(length: int):
                 )
 
     def run(batches):
-        from .minhash import _groups
-
-        held, size = [], 0
-        for _, rows in _groups(batches, 2):
-            if rows.num_rows > 1 or rows.column("block")[0].as_py() > 0:
-                held += rows.to_batches()
-                size += rows.column("ctx").nbytes
-            if size > SHARD_BYTES:
-                yield from solve(held)
-                held, size = [], 0
+        held, size, key = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp, block = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            off = flat_utf8(batch.column(4))[1]
+            new = np.append(key != (fp[0], block[0]), (fp[1:] != fp[:-1]) | (block[1:] != block[:-1]))
+            key, lo = (fp[-1], block[-1]), 0
+            for at in np.flatnonzero(new).tolist():  # groups stay whole
+                if size + off[at] - off[lo] > SHARD_BYTES:
+                    yield from solve([*held, batch.slice(lo, at - lo)])
+                    held, size, lo = [], 0, at
+            held.append(batch.slice(lo))
+            size += off[-1] - off[lo]
         if held:
             yield from solve(held)
 

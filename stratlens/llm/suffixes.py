@@ -85,7 +85,9 @@ def _induce_names(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.n
     n = len(t)
     end = np.cumsum(np.bincount(t, minlength=k))
     head, tail = np.append(0, end[:-1]).tolist(), (end - 1).tolist()
-    sym, small, sa = t.tolist(), s.tolist(), [0] * n  # 0: nothing precedes the first suffix, so it moves none
+    sym, sa = t.tolist(), [0] * n
+    # the symbol before each suffix, if that one is to be moved; nothing precedes the first suffix, 0, so it moves none
+    large, small = (np.append(-1, np.where(x, t[:-1].astype(np.int64), -1)).tolist() for x in (~s[:-1], s[:-1]))
     last = tail.copy()
     for i in lms[::-1].tolist():
         c = sym[i]
@@ -94,16 +96,14 @@ def _induce_names(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.n
     c = sym[n - 1]
     sa[head[c]] = n - 1
     head[c] += 1
-    for at in range(n):
-        i = sa[at]
-        if i and not small[i - 1]:
-            c = sym[i - 1]
+    for i in sa:  # which the loop fills as it goes
+        c = large[i]
+        if c >= 0:
             sa[head[c]] = i - 1
             head[c] += 1
-    for at in range(n - 1, -1, -1):
-        i = sa[at]
-        if i and small[i - 1]:
-            c = sym[i - 1]
+    for i in reversed(sa):
+        c = small[i]
+        if c >= 0:
             sa[tail[c]] = i - 1
             tail[c] -= 1
     return np.array(sa, np.int64)

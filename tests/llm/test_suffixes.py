@@ -85,6 +85,42 @@ def test_hot_anchor(spark, monkeypatch):
     assert {r[0]: tuple(r[1:]) for r in substrings.digest(df).collect()} == windows(rows)
 
 
+def asked(rows, length=100):
+    """The (doc_id, begin, stop) of which the suffix arrays get the bytes."""
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows])], ["doc_id", "text"])
+    runs = pa.Table.from_batches(substrings._scan(length, 8)([batch])).sort_by("shard").combine_chunks()
+    found = pa.Table.from_batches(substrings._resolve(length)(runs.to_batches()))
+    return [(r["doc_id"], r["begin"], r["stop"]) for r in found.to_pylist() if r["fp"] is not None]
+
+
+def test_only_bytes_that_may_be_common_are_sorted():
+    """A phrase too short for a window gives its anchor many contexts, none of which has a window in common with another."""
+    some = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    phrase = "that a good many documents have, sixty bytes of it in all..."
+    rows = [(k, f"{some(20)} {phrase} {some(20)}") for k in range(200)]
+    assert len(phrase) == 60 and len(asked(rows)) < 20  # but for marks of 16 bits that happen to be equal
+    rows = rows[:20] + [(500 + k, f"{some(20)} {phrase * 3} {some(20)}") for k in range(3)]
+    assert {d for d, _, _ in asked(rows)} >= {500, 501, 502}
+    for d, begin, stop in asked(rows):
+        at = dict(rows)[d].index(phrase)
+        assert stop - begin >= 100 and at - 51 < begin and stop < at + 180 + 51
+
+
+@pytest.mark.parametrize("length", [24, 26, 61, 100])
+def test_edited_copies(spark, length):
+    """Copies that differ every few words, so that almost each anchor has several contexts."""
+    words = np.array([f"w{k}" for k in range(300)])
+    base, rows = rng.choice(words, 400), []
+    for k in range(25):
+        copy = base.copy()
+        edit = rng.random(len(copy)) < k / 200
+        copy[edit] = rng.choice(words, edit.sum())
+        rows.append((k, " ".join(copy[rng.integers(0, 30) :])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.deduplicate(df, length).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256))
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == windows(rows, length)
+
+
 def test_equal_windows():
     x, y = b"abcabcabc" * 3, b"xxabcabcabcyy"
     off = np.array([0, len(x), len(x) + len(y)])
