@@ -21,11 +21,30 @@ def clean(x: Column, is_float: bool) -> Column:
     return F.when(F.isnan(x), None).otherwise(x) if is_float else x
 
 
-def interval_index(x: Column, edges: list[float]) -> Column:
+def number(v: float | int | None, kind: str = "double") -> str:
+    return f"cast({'null' if v is None else repr(str(v))} as {kind})"
+
+
+def literals(values: list, kind: str) -> Column:
+    """An array of numbers and nulls, parsed from one text: a call of the JVM for each is slow."""
+    return F.expr(f"array({', '.join(number(v, kind) for v in values)})")
+
+
+def interval_index(x: Column | str, edges: list[float]) -> Column:
     """1-based interval (lower, upper] of x, the lowest edge included; null outside or for null.
 
-    A balanced tree of comparisons: its depth is the logarithm of the number of edges.
+    A balanced tree of comparisons: its depth is the logarithm of the number of edges.  Where x is a text, an
+    expression over doubles or longs, the tree is parsed from one text, which takes fewer calls of the JVM.
     """
+    if isinstance(x, str):
+        at = [number(e, "bigint" if isinstance(e, int) else "double") for e in edges]
+
+        def find(lo: int, hi: int) -> str:
+            mid = (lo + hi) // 2
+            return str(hi) if hi - lo == 1 else f"case when {x} <= {at[mid]} then {find(lo, mid)} else {find(mid, hi)} end"
+
+        inside = f"{x} = {at[0]}" if len(at) == 1 else f"{x} >= {at[0]} and {x} <= {at[-1]}"
+        return F.expr(f"case when {inside} then {1 if len(at) == 1 else find(0, len(at) - 1)} end")
     if len(edges) == 1:
         return F.when(x == edges[0], F.lit(1))
 

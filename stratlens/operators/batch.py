@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.binning import clean, interval_index, named, value_label
 from ..sources.tables import ColumnTypes, distinct_counts, guess_type
-from .histogram import Histogram, gini_of, gini_of_rates, histograms
+from .histogram import Histogram, gini_of, gini_of_rates, histograms, level_histograms
 from .scoring import without_total
 from .stats import discrete_stats, interval_stats
 from .tree import grow, leaf_bounds
@@ -47,32 +47,41 @@ def calc(df: DataFrame, variable: str, target: str, pred: str | None = None, wei
 
 
 def gen_tables(df: DataFrame, types: ColumnTypes, categorical_max_levels: int = 20) -> dict[str, DataFrame]:
-    """A table of statistics for every explanatory variable; all continuous ones come from one scan."""
+    """A table of statistics for every explanatory variable; all continuous ones come from one scan, others from one for several."""
     target, out = types.target, {}
     shared, kept = _continuous(df, types)
+    levels, cells = _discrete(df, types, categorical_max_levels)
     for v in types.types.values():
         if v.role in ("skipped", "target"):
             continue
         if v.analytical_type in ("discrete", "categorical"):
-            out[v.column_name] = warning(df) if v.distinct > categorical_max_levels else discrete_stats(df, v.column_name, target)
+            out[v.column_name] = warning(df) if v.distinct > categorical_max_levels else discrete_stats(df, v.column_name, target, histogram=levels[v.column_name])
         elif v.analytical_type == "continuous":
             out[v.column_name] = interval_stats(df, v.column_name, target, histogram=shared[v.column_name])
         else:
             raise ValueError(f"unknown analytical type {v.analytical_type!r}")
-    _release(shared, kept)
+    _release(shared | levels, [*kept, *cells])
     return out
 
 
-def _continuous(df: DataFrame, types: ColumnTypes) -> tuple[dict[str, Histogram], DataFrame | None]:
+def _continuous(df: DataFrame, types: ColumnTypes) -> tuple[dict[str, Histogram], list[DataFrame]]:
     names = [v.column_name for v in types.types.values() if v.role not in ("skipped", "target") and v.analytical_type == "continuous"]
-    return histograms(df, names, types.target) if names else ({}, None)
+    if not names:
+        return {}, []
+    shared, table = histograms(df, names, types.target)
+    return shared, [table]
 
 
-def _release(shared: dict[str, Histogram], kept: DataFrame | None) -> None:
+def _discrete(df: DataFrame, types: ColumnTypes, max_levels: int) -> tuple[dict[str, Histogram], list[DataFrame]]:
+    few = {v.column_name: v.distinct for v in types.types.values() if v.role not in ("skipped", "target") and v.analytical_type != "continuous" and v.distinct <= max_levels}
+    return level_histograms(df, few, types.target)
+
+
+def _release(shared: dict[str, Histogram], kept: list[DataFrame]) -> None:
     for h in shared.values():
         h.release()
-    if kept is not None:
-        kept.unpersist()
+    for table in kept:
+        table.unpersist()
 
 
 def level_stats(df: DataFrame, types: ColumnTypes, categorical_max_levels: int = 20) -> DataFrame:
@@ -108,7 +117,7 @@ def chart_data(table: DataFrame) -> DataFrame:
 
 def _rates(h: Histogram, edges: list[float]) -> list[tuple]:
     """(rate, rows, positives) of each interval, missing values being a bin of their own."""
-    slot = F.when(F.col("value").isNull(), -1).otherwise(interval_index(F.col("value"), edges))
+    slot = F.when(F.col("value").isNull(), -1).otherwise(interval_index("value", edges))
     rows = h.values.groupBy(slot.alias("slot")).agg(F.sum("cnt").alias("n"), F.sum("pos").alias("p")).collect()
     return [(r["p"] / r["n"], r["n"], r["p"]) for r in rows if r["slot"] is not None]
 
@@ -117,7 +126,8 @@ def gen_report_objects(df: DataFrame, types: ColumnTypes, max_levels: int = 20,
     """Ginis, table and chart of every variable; continuous ones show their tree's intervals and chart
     their quantiles.  Everything of a variable comes from one histogram."""
     target, out = types.target, {}
-    shared, kept_table = _continuous(df, types)
+    shared, kept_tables = _continuous(df, types)
+    levels, cells = _discrete(df, types, max_levels)
     for v in types.types.values():
         name = v.column_name
         if v.role in ("skipped", "target"):
@@ -126,7 +136,7 @@ def gen_report_objects(df: DataFrame, types: ColumnTypes, max_levels: int = 20,
             if v.distinct > max_levels:
                 out[name] = VariableReport(name, None, None, warning(df), None, True)
                 continue
-            h = Histogram(df, name, target)
+            h = levels[name]
             table = discrete_stats(df, name, target, histogram=h)
             g = gini_of_rates([(r["pos"] / r["cnt"], r["cnt"], r["pos"]) for r in h.values.select("cnt", "pos").collect()])
             kept = table.collect()
@@ -145,7 +155,7 @@ def gen_report_objects(df: DataFrame, types: ColumnTypes, max_levels: int = 20,
             out[name] = VariableReport(name, gini_of(h), gini_of_rates(_rates(h, edges)) if edges else None, table, [r.asDict() for r in chart_data(quantiles).collect()])
         finally:
             h.release()
-    _release({}, kept_table)
+    _release({}, [*kept_tables, *cells])
     return out
 
 

@@ -11,13 +11,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.binning import clean, interval_index, named
+from ..functions.binning import clean, interval_index, literals, named
 
 SLICES = 128
+#: Combinations of values that variables grouped together may be expected to have.
+CELLS = 4096
 NUMERIC = (T.NumericType, T.BooleanType)
 
 
@@ -25,6 +27,30 @@ def is_numeric(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, NUMERIC)
 
 
+def persisted(df: DataFrame) -> DataFrame:
+    """Persist in as many partitions as the rows need, not as many as shuffles have: the plan is adapted to their size,
+    which Spark does for cached tables only if it is told to while it makes the plan."""
+    conf, name = df.sparkSession.conf, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return df.persist()
+    finally:
+        conf.set(name, before)
+
+
+def packs(sizes: dict[str, int]) -> list[list[str]]:
+    """Columns in groups of at most ``CELLS`` combinations of their values (so many each, or missing), or of one column."""
+    out, cells = [], CELLS + 1
+    for c in sorted(sizes, key=lambda c: sizes[c]):
+        cells *= sizes[c] + 1
+        if cells > CELLS:
+            out.append([])
+            cells = sizes[c] + 1
+        out[-1].append(c)
+    return out
+
+
 def require_column(df: DataFrame, *names: str | None) -> None:
     for n in names:
         if n is not None and n not in df.columns:
@@ -76,7 +102,7 @@ class Histogram:
             F.sum("w").alias("sum_w"), F.sum(F.col("y") * F.col("w")).alias("sum_wy"), F.sum(F.col("p") * F.col("w")).alias("sum_wp"),
         )
         if self.keep:
-            self.kept.append(out.persist())
+            self.kept.append(persisted(out))
         return out
 
     @cached_property
@@ -96,13 +122,14 @@ class Histogram:
     def ordered(self) -> DataFrame:
         """value, cnt, pos, before, before_pos and next, of the values that are not missing."""
         h = self.values.where("value is not null").select(F.col("value").cast("double").alias("value"), "cnt", "pos")
-        if self.totals["distinct"] > self.one_slice:
-            cuts = h.agg(F.percentile_approx("value", [i / SLICES for i in range(1, SLICES)], 10_000)).first()[0]
+        slices = min(SLICES, -(-self.totals["distinct"] // max(1, self.one_slice)))
+        if slices > 1:
+            cuts = h.agg(F.percentile_approx("value", [i / slices for i in range(1, slices)], 10_000)).first()[0]
             cuts = sorted({float(c) for c in cuts})
         else:
             cuts = []
         edges = [float("-inf"), *(c for c in cuts if c not in (float("inf"), float("-inf"))), float("inf")]
-        h = h.withColumn("slice", interval_index(F.col("value"), edges))
+        h = h.withColumn("slice", interval_index("value", edges))
         sums = sorted(h.groupBy("slice").agg(F.sum("cnt"), F.sum("pos"), F.min("value")).collect())
         before, before_pos, follow, n, p = {}, {}, {}, 0, 0
         for k, (s, cnt, pos, _) in enumerate(sums):
@@ -111,15 +138,14 @@ class Histogram:
             n, p = n + cnt, p + pos
 
         def pick(table: dict, kind: str):
-            values = [v for s in range(1, len(edges)) for v in [table.get(s)]]
-            return F.element_at(F.array(*(F.lit(v).cast(kind) for v in values)), F.col("slice"))
+            return F.element_at(literals([table.get(s) for s in range(1, len(edges))], kind), F.col("slice"))
 
         w = Window.partitionBy("slice").orderBy("value")
         up = w.rowsBetween(Window.unboundedPreceding, -1)
-        out = h.select(
+        out = persisted(h.select(
             "value", "cnt", "pos", (pick(before, "long") + F.coalesce(F.sum("cnt").over(up), F.lit(0))).alias("before"), (pick(before_pos, "long") + F.coalesce(F.sum("pos").over(up), F.lit(0))).alias("before_pos"),
             F.coalesce(F.lead("value").over(w), pick(follow, "double")).alias("next"),
-        ).persist()
+        ))
         self.kept.append(out)
         return out
 
@@ -128,7 +154,8 @@ class Histogram:
         want = sorted(set(ranks))
         if not want:
             return {}
-        hit = F.exists(F.array(*(F.lit(r).cast("long") for r in want)), lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("cnt")))
+        bounds = [-1, *want, self.totals["n"]]
+        hit = interval_index("before", bounds) != interval_index("(before + cnt)", bounds)
         found = sorted((b, c, v) for v, b, c in self.ordered.where(hit).select("value", "before", "cnt").collect())
         return {r: next(v for b, c, v in found if b <= r < b + c) for r in want}
 
@@ -145,13 +172,40 @@ def histograms(df: DataFrame, names: list[str], target: str) -> tuple[dict[str,
         require_column(df, n, target)
     pairs = F.array(*(F.struct(F.lit(i).alias("k"), clean(named(n).cast("double"), True).alias("value")) for i, n in enumerate(names)))
     rows = df.select(clean(named(target).cast("double"), True).alias("y"), F.explode(pairs).alias("v")).select("v.k", "v.value", "y")
-    table = rows.groupBy("k", "value").agg(
-        F.count(F.lit(1)).alias("cnt"), F.sum((F.col("y") > 0).cast("long")).alias("pos"), F.sum(F.col("y").isNull().cast("long")).alias("bad"),
-        F.count(F.lit(1)).cast("double").alias("sum_w"), F.sum("y").alias("sum_wy"), F.lit(None).cast("double").alias("sum_wp"),
-    ).persist()
+    table = persisted(_unweighted(rows.groupBy("k", "value").agg(*_counts())))
     return {n: Histogram(df, n, target, as_double=True, shared=table.where(F.col("k") == i).drop("k")) for i, n in enumerate(names)}, table
 
 
+def _counts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("cnt"), F.sum((F.col("y") > 0).cast("long")).alias("pos"), F.sum(F.col("y").isNull().cast("long")).alias("bad"), F.sum("y").alias("sum_wy")]
+
+
+def _unweighted(table: DataFrame) -> DataFrame:
+    return table.withColumns({"sum_w": F.col("cnt").cast("double"), "sum_wp": F.lit(None).cast("double")})
+
+
+def level_histograms(df: DataFrame, levels: dict[str, int], target: str) -> tuple[dict[str, Histogram], list[DataFrame]]:
+    """Histograms of variables of few values (so many each), in their own types, and the tables they share, persisted:
+    unpersist them when done.
+
+    The rows are grouped by the combinations of several variables at once, and each variable's values follow from these.
+    The numbers of values only decide which are grouped together.
+    """
+    for n in levels:
+        require_column(df, n, target)
+    out, tables = {}, []
+    for group in packs(levels):
+        x = [clean(named(n), isinstance(df.schema[n].dataType, (T.DoubleType, T.FloatType))).alias(f"c{i}") for i, n in enumerate(group)]
+        cells = persisted(df.select(clean(named(target).cast("double"), True).alias("y"), *x).groupBy(*(f"c{i}" for i in range(len(x)))).agg(*_counts()))
+        tables.append(cells)
+        for i, n in enumerate(group):
+            values = cells.groupBy(F.col(f"c{i}").alias("value")).agg(*(F.sum(c).alias(c) for c in ("cnt", "pos", "bad", "sum_wy")))
+            h = Histogram(df, n, target, shared=persisted(_unweighted(values)))
+            h.kept.append(h.shared)
+            out[n] = h
+    return {n: out[n] for n in levels}, tables
+
+
 def gini(df: DataFrame, variable: str, target: str) -> float | None:
     """2 AUC - 1, signed and unweighted, ties counting half; None with one class.  Missing values are left out."""
     h = Histogram(df, variable, target, as_double=True)

@@ -93,7 +93,7 @@ def interval_stats(df: DataFrame, variable: str, target: str, pred: str | None =
     try:
         n = h.totals["n"]
         edges = resolve_edges(h, bins)
-        index = interval_index(F.col("value"), edges) if edges else F.lit(None).cast("int")
+        index = interval_index("value", edges) if edges else F.lit(None).cast("int")
         slot = F.when(F.col("value").isNull(), -1).otherwise(F.coalesce(index, F.when(F.col("value") < (edges[0] if edges else 0.0), 0).otherwise(9_999_999)))
         sums = h.values.groupBy(slot.alias("slot")).agg(
             F.sum("cnt").alias("cnt"), F.sum("pos").alias("pos"), F.sum("sum_wy").alias("t"), F.sum("sum_w").alias("w"), F.sum("sum_wp").alias("p"), F.sum(F.col("value") * F.col("cnt")).alias("x"),

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binning import literals
 from .histogram import Histogram
 from .stats import _require_numeric, interval_stats
 
@@ -37,8 +38,7 @@ def _impurity(n, p):
 
 def _level(h: Histogram, nodes: list[Node], least: int) -> None:
     """Split every node that gains by it."""
-    number, first, first_pos = F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("long")
-    size, ones = F.lit(None).cast("long"), F.lit(None).cast("long")
+    number = F.lit(None).cast("int")
     for i, x in enumerate(nodes):
         inside = F.lit(True)
         if x.lower is not None:
@@ -46,17 +46,20 @@ def _level(h: Histogram, nodes: list[Node], least: int) -> None:
         if x.upper is not None:
             inside &= F.col("value") <= x.upper
         number = F.when(inside, F.lit(i)).otherwise(number)
-        first = F.when(inside, F.lit(x.before)).otherwise(first)
-        first_pos = F.when(inside, F.lit(x.before_pos)).otherwise(first_pos)
-        size = F.when(inside, F.lit(x.n)).otherwise(size)
-        ones = F.when(inside, F.lit(x.pos)).otherwise(ones)
-    rows = h.ordered.select(
-        number.alias("node"), "value", "next", (F.col("before") + F.col("cnt") - first).alias("cn"), (F.col("before_pos") + F.col("pos") - first_pos).alias("cp"), size.alias("n"), ones.alias("p")
-    ).where((F.col("node").isNotNull()) & F.col("next").isNotNull() & (F.col("cn") >= least) & (F.col("n") - F.col("cn") >= least))
+
+    def of(numbers: list[int]):
+        return F.get(literals(numbers, "long"), F.col("node"))
+
+    # one step a select, and the condition inside the aggregate: expressions are not copied into each other
+    rows = h.ordered.where("next is not null").select(number.alias("node"), "value", "next", (F.col("before") + F.col("cnt")).alias("cn"), (F.col("before_pos") + F.col("pos")).alias("cp"))
+    rows = rows.select("node", "value", "next", (F.col("cn") - of([x.before for x in nodes])).alias("cn"), (F.col("cp") - of([x.before_pos for x in nodes])).alias("cp"), of([x.n for x in nodes]).alias("n"), of([x.pos for x in nodes]).alias("p"))
     cn, cp, n, p = (F.col(c).cast("double") for c in ("cn", "cp", "n", "p"))
-    cost = 2 * cp * (cn - cp) / cn + 2 * (p - cp) * ((n - cn) - (p - cp)) / (n - cn)
-    best = rows.groupBy("node").agg(F.min(F.struct(cost.alias("cost"), F.col("value"), F.col("next"), F.col("cn"), F.col("cp"))).alias("b")).collect()
+    cost = F.when((F.col("cn") >= least) & (F.col("n") - F.col("cn") >= least), 2 * cp * (cn - cp) / cn + 2 * (p - cp) * ((n - cn) - (p - cp)) / (n - cn))
+    rows = rows.select("node", "value", "next", "cn", "cp", cost.alias("cost"))
+    best = rows.groupBy("node").agg(F.min(F.when(F.col("cost").isNotNull(), F.struct("cost", "value", "next", "cn", "cp"))).alias("b")).collect()
     for r in best:
+        if r["node"] is None or r["b"] is None:
+            continue
         x, b = nodes[r["node"]], r["b"]
         if b["cost"] < _impurity(x.n, x.pos) - 1e-12 * x.n:
             x.threshold = (b["value"] + b["next"]) / 2

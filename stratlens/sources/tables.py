@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.binning import clean, named
-from ..operators.histogram import NUMERIC
+from ..operators.histogram import NUMERIC, packs
+
+#: Rows that tell which columns may have few values, and how many are few.
+HEAD, FEW = 20_000, 100
 
 
 def read(spark: SparkSession, path: str, columns: list[str] | None = None, casts: dict[str, str] | None = None, schema=None) -> DataFrame:
@@ -30,8 +33,8 @@ def save_table(df: DataFrame, path: str) -> None:
 def distinct_counts(df: DataFrame, names: list[str]) -> dict[str, int]:
     """Exact distinct counts without missing values.
 
-    An approximate count tells which columns have few values; those are counted as small sets in one
-    aggregation, the others by a shuffle of their distinct values.
+    Columns that have few values in ``HEAD`` rows are grouped several at a time and counted in the combinations
+    that are left, the others by a shuffle of their distinct values.  Either way is exact, however many there are.
     """
     if not names:
         return {}
@@ -39,13 +42,20 @@ def distinct_counts(df: DataFrame, names: list[str]) -> dict[str, int]:
     def x(c):
         return clean(named(c), isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)))
 
-    rough = df.agg(*(F.approx_count_distinct(x(c), 0.05).alias(f"c{i}") for i, c in enumerate(names))).first()
-    few = [c for i, c in enumerate(names) if rough[f"c{i}"] <= 1000]
+    def columns(group):
+        return df.select(*(x(c).alias(f"c{i}") for i, c in enumerate(group)))
+
+    def counts(rows, group):
+        row = rows.agg(*(F.count_distinct(f"c{i}").alias(f"c{i}") for i in range(len(group)))).first()
+        return {c: int(row[f"c{i}"]) for i, c in enumerate(group)}
+
+    rough = counts(columns(names).limit(HEAD), names)
+    few = {c: n for c, n in rough.items() if n <= FEW}
     many, out = [c for c in names if c not in few], {}
-    for group, count in ((few, lambda v: F.size(F.collect_set(v))), (many, F.count_distinct)):
-        if group:
-            row = df.agg(*(count(x(c)).alias(f"c{i}") for i, c in enumerate(group))).first()
-            out |= {c: int(row[f"c{i}"]) for i, c in enumerate(group)}
+    for group in packs(few):
+        out |= counts(columns(group).distinct(), group)
+    if many:
+        out |= counts(columns(many), many)
     return {c: out[c] for c in names}
 
 
